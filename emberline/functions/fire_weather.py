@@ -107,18 +107,24 @@ def weather_is_valid(rh: Column, wind: Column, rain: Column) -> Column:
     return rh.between(0.0, 100.0) & (wind >= 0.0) & (rain >= 0.0)
 
 
-_STAGES: list[dict[str, Callable[[Getter], Column]]] = [
-    {
-        "_mo": lambda g: _after_rain(_moisture_of_code(F.lit(PREVIOUS_FFMC)), g("rain")),
-        "_dry": lambda g: _equilibrium(0.942, 0.679, 11.0, g("temp"), g("rh")),
-        "_wet": lambda g: _equilibrium(0.618, 0.753, 10.0, g("temp"), g("rh")),
-    },
-    {"_m": lambda g: _settled_moisture(g("_mo"), g("_dry"), g("_wet"), g("temp"), g("rh"), g("wind"))},
-    {"ffmc": lambda g: _code_of_moisture(g("_m"))},
-    {"isi": lambda g: isi(g("wind"), g("ffmc"))},
-    {"_scale": lambda g: _intensity_scale(g("isi"), bui())},
-    {"fwi": lambda g: F.when(weather_is_valid(g("rh"), g("wind"), g("rain")), _index_of_scale(g("_scale")))},
+# Each stage names what it computes and which earlier results are still needed after it.
+_STAGES: list[tuple[dict[str, Callable[[Getter], Column]], list[str]]] = [
+    (
+        {
+            "_mo": lambda g: _after_rain(_moisture_of_code(F.lit(PREVIOUS_FFMC)), g("rain")),
+            "_dry": lambda g: _equilibrium(0.942, 0.679, 11.0, g("temp"), g("rh")),
+            "_wet": lambda g: _equilibrium(0.618, 0.753, 10.0, g("temp"), g("rh")),
+            "_valid": lambda g: weather_is_valid(g("rh"), g("wind"), g("rain")),
+        },
+        ["temp", "rh", "wind"],
+    ),
+    ({"_m": lambda g: _settled_moisture(g("_mo"), g("_dry"), g("_wet"), g("temp"), g("rh"), g("wind"))}, ["wind", "_valid"]),
+    ({"ffmc": lambda g: _code_of_moisture(g("_m"))}, ["wind", "_valid"]),
+    ({"isi": lambda g: isi(g("wind"), g("ffmc"))}, ["_valid"]),
+    ({"_scale": lambda g: _intensity_scale(g("isi"), bui())}, ["_valid"]),
+    ({"fwi": lambda g: F.when(g("_valid"), _index_of_scale(g("_scale")))}, []),
 ]
+_SCRATCH = ["_mo", "_dry", "_wet", "_valid", "_m", "_scale"]
 
 
 def with_fwi(
@@ -127,33 +133,43 @@ def with_fwi(
     rh: str = "rh_pct",
     wind: str = "wind_kmh",
     rain: str = "rain_mm",
+    name: str = "fwi",
     keep_components: bool = False,
 ) -> DataFrame:
-    """Append ``fwi`` (and, on request, ``ffmc``, ``isi`` and ``bui``); null where the readings are invalid."""
+    """Append the index as ``name`` (and, on request, ``ffmc``, ``isi`` and ``bui``); null for invalid readings."""
     names = {"temp": temp, "rh": rh, "wind": wind, "rain": rain}
     out = df
-    for stage in _STAGES:
-        out = out.select("*", *[build(lambda n: F.col(names.get(n, n))).alias(n) for n, build in stage.items()])
+    for stage, _ in _STAGES:
+        columns = [build(lambda n: F.col(names.get(n, n))).alias(name if n == "fwi" else n) for n, build in stage.items()]
+        out = out.select("*", *columns)
     if keep_components:
-        return out.withColumn("bui", bui()).drop("_mo", "_dry", "_wet", "_m", "_scale")
-    return out.drop("_mo", "_dry", "_wet", "_m", "_scale", "ffmc", "isi")
+        return out.withColumn("bui", bui()).drop(*_SCRATCH)
+    return out.drop(*_SCRATCH, "ffmc", "isi")
 
 
 def fwi_over_days(days: Column, temp: str, rh: str, wind: str, rain: str) -> Column:
-    """Each struct of the array ``days`` with ``fwi`` added, without leaving its row."""
-    names = {"temp": temp, "rh": rh, "wind": wind, "rain": rain}
-
-    def run(stage: dict) -> Callable[[Column], Column]:
-        def extend(day: Column) -> Column:
-            extended = day
-            for name, build in stage.items():
-                extended = extended.withField(name, build(lambda n: day[names.get(n, n)]))
-            return extended
+    """Array of ``(day, fwi)`` for the array of structs ``days``, computed without leaving the row.
 
-        return extend
+    Every stage passes on only what later ones need, which keeps the structs built per day small.
+    """
+    names = {"temp": temp, "rh": rh, "wind": wind, "rain": rain}
 
-    for stage in _STAGES:
-        days = F.transform(days, run(stage))
+    def first(stage: dict, carried: list[str]) -> Callable[[Column], Column]:
+        return lambda day: F.struct(
+            day.alias("day"),
+            *[day[names[n]].alias(n) for n in carried],
+            *[build(lambda n: day[names[n]]).alias(n) for n, build in stage.items()],
+        )
+
+    def later(stage: dict, carried: list[str]) -> Callable[[Column], Column]:
+        return lambda at: F.struct(
+            at["day"].alias("day"),
+            *[at[n].alias(n) for n in carried],
+            *[build(lambda n: at[n]).alias(n) for n, build in stage.items()],
+        )
+
+    for number, (stage, carried) in enumerate(_STAGES):
+        days = F.transform(days, (later if number else first)(stage, carried))
     return days
 
 

@@ -19,9 +19,11 @@ def truthy_number(*columns: Column) -> Column:
 
 
 def number_or_null(text: Column) -> Column:
-    """Text as DOUBLE, null when it is no number. Java's ``10f``/``10d`` spellings are no numbers."""
-    suffixed = F.right(text, F.lit(1)).isin("d", "D", "f", "F") & ~F.lower(text).endswith("inf")
-    return F.when(~suffixed, text.try_cast("double"))
+    """Text as DOUBLE, null when it is no number.
+
+    Java would read ``10f`` and ``10d`` as numbers; with these letters replaced they are none.
+    """
+    return F.translate(text, "dDfF", "xxxx").try_cast("double")
 
 
 def cell_index(degrees: Column, per_degree: int = 100) -> Column:
@@ -58,8 +60,13 @@ def in_order(conditions: list[tuple[Column, Column]], default: Column) -> Column
 
 
 def equal_lookup(key: Column, table: dict, default) -> Column:
-    """Value behind ``key`` in a small fixed table, ``default`` for everything else."""
-    return in_order([(key == k, F.lit(v)) for k, v in table.items()], F.lit(default))
+    """Value behind ``key`` in a small fixed table, ``default`` for everything else.
+
+    The table is a constant map, which keeps the generated code short however many entries it has.
+    """
+    entries = F.create_map(*[F.lit(part) for pair in table.items() for part in pair])
+    found = F.try_element_at(entries, key)
+    return found if default is None else F.coalesce(found, F.lit(default))
 
 
 def range_lookup(value: Column, ranges: list[tuple[float, float, object]], default) -> Column:

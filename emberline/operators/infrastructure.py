@@ -63,13 +63,12 @@ def category_of(categories: list[Category]) -> Column:
     return in_order([(_has(c), F.lit(i)) for i, c in enumerate(categories)], F.lit(None).cast("int"))
 
 
-def _label(place: Column, categories: list[Category], default: str | None) -> Column:
-    return F.coalesce(equal_lookup(place, {i: c[2] for i, c in enumerate(categories)}, default), F.lit(default))
+def _label(place: Column, categories: list[Category], default: str) -> Column:
+    return equal_lookup(place, {i: c[2] for i, c in enumerate(categories)}, default)
 
 
 def _color(place: Column, categories: list[Category]) -> Column:
-    colors = {i: c[3] for i, c in enumerate(categories)}
-    return F.coalesce(equal_lookup(place, colors, None), F.lit(tables.INFRA_OTHER[1]))
+    return equal_lookup(place, {i: c[3] for i, c in enumerate(categories)}, tables.INFRA_OTHER[1])
 
 
 def within_bbox(df: DataFrame, west: float, south: float, east: float, north: float) -> DataFrame:
@@ -123,15 +122,15 @@ def viewport(elements: DataFrame, bounds: dict[str, float], zoom: int, keep: Ite
     placed = within_bbox(drop_null_coords(with_place(chosen), falsy=True), **rounded)
     placed = placed.where(F.lit(zoom >= tables.VIEWPORT_MIN_ZOOM))
     typed = placed.withColumn("_category", category_of(tables.VIEWPORT_CATEGORIES))
-    label = _label(F.col("_category"), tables.VIEWPORT_CATEGORIES, tables.INFRA_OTHER[0])
+    kind = F.col("_category")
     named = truthy_text(F.col("tags")["name"], F.col("tags")["name:es"])
     return typed.select(
         *keep,
         "lon",
         "lat",
-        F.coalesce(named, equal_lookup(F.col("_category"), {i: c[2] for i, c in enumerate(tables.VIEWPORT_CATEGORIES)}, None), F.lit("Unknown")).alias("name"),
-        label.alias("type"),
-        _color(F.col("_category"), tables.VIEWPORT_CATEGORIES).alias("color"),
+        F.coalesce(named, _label(kind, tables.VIEWPORT_CATEGORIES, "Unknown")).alias("name"),
+        _label(kind, tables.VIEWPORT_CATEGORIES, tables.INFRA_OTHER[0]).alias("type"),
+        _color(kind, tables.VIEWPORT_CATEGORIES).alias("color"),
     )
 
 

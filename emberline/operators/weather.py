@@ -15,6 +15,8 @@ from emberline.schemas import FORECAST
 
 # A grid of at most this many cells is small enough to send to every task (16 bytes a cell).
 BROADCAST_CELLS = 200_000
+# Forecast day (from 0) that decides the trend.
+TREND_DAY = 3
 
 
 def grid_size(bounds: tuple[float, float], step: float) -> int:
@@ -126,41 +128,57 @@ def with_forecast(weather: DataFrame) -> DataFrame:
     The index is computed inside the array, so a cell and its days never part and no shuffle is needed
     to bring them together again.
     """
-    days = F.transform("days", _day_readings)
-    scored = fwi_over_days(days, "temp_max", "rh_min", "wind_max", "rain")
+    scored = fwi_over_days(F.transform("days", _day_readings), "temp_max", "rh_min", "wind_max", "rain")
     forecast = F.transform(
         scored,
-        lambda day: F.struct(
-            day["date"].alias("date"),
-            day["fwi"].alias("fwi"),
-            fwi_class(day["fwi"]).alias("risk_class"),
-            fwi_label(day["fwi"]).alias("risk_label"),
-            fwi_color(day["fwi"]).alias("color"),
-            day["temp_max"].alias("temp_max"),
-            day["rh_min"].alias("rh_min"),
-            day["wind_max"].alias("wind_max"),
-            day["rain"].alias("rain"),
+        lambda at: F.struct(
+            at["day"]["date"].alias("date"),
+            at["fwi"].alias("fwi"),
+            fwi_class(at["fwi"]).alias("risk_class"),
+            fwi_label(at["fwi"]).alias("risk_label"),
+            fwi_color(at["fwi"]).alias("color"),
+            *[at["day"][name].alias(name) for name in ("temp_max", "rh_min", "wind_max", "rain")],
         ),
     )
     return weather.withColumn("forecast", F.coalesce(forecast, F.array().cast(FORECAST))).drop("days")
 
 
 def forecast_days(weather: DataFrame, keep: Iterable[str] = ("lat", "lon")) -> DataFrame:
-    """One row per cell and forecast day (``day_i`` from 0), index computed on the long table."""
+    """One row per cell and forecast day (``day_i`` from 0), index computed on the long table.
+
+    The outer form of the explode keeps Spark from filtering on the array's size first, which would build
+    every array twice; cells without a forecast go right after.
+    """
     keep = list(keep)
     rows = (
-        weather.select(*keep, "temp_c", "rh_pct", "wind_kmh", F.posexplode("days").alias("day_i", "_day"))
+        weather.select(*keep, "temp_c", "rh_pct", "wind_kmh", F.posexplode_outer("days").alias("day_i", "_day"))
+        .where("day_i is not null")
         .select(*keep, "day_i", _day_readings(F.col("_day")).alias("_r"))
         .select(*keep, "day_i", "_r.*")
     )
     return with_risk(with_fwi(rows, "temp_max", "rh_min", "wind_max", "rain"))
 
 
+def _trend(later: Column, now: Column) -> Column:
+    return F.when(later > now * 1.2, "escalating").when(later < now * 0.8, "de-escalating").otherwise("steady")
+
+
 def with_trend(df: DataFrame) -> DataFrame:
     """Append ``trend``: the index on the fourth forecast day against the current one."""
-    later, now = F.try_element_at("forecast", F.lit(4))["fwi"], F.col("fwi")
-    trend = F.when(later > now * 1.2, "escalating").when(later < now * 0.8, "de-escalating").otherwise("steady")
-    return df.withColumn("trend", trend)
+    later = F.try_element_at("forecast", F.lit(TREND_DAY + 1))["fwi"]
+    return df.withColumn("trend", _trend(later, F.col("fwi")))
+
+
+def fwi_summary(weather: DataFrame) -> DataFrame:
+    """Current index, class and trend per cell, for views that do not show the forecast.
+
+    Only the one forecast day that decides the trend is scored.
+    """
+    day = F.get(F.transform(F.slice("days", TREND_DAY + 1, 1), _day_readings), F.lit(0))
+    at_day = with_fwi(weather).select("*", day.alias("_day")).select("*", "_day.*")
+    scored = with_fwi(at_day, "temp_max", "rh_min", "wind_max", "rain", name="_later")
+    trended = scored.withColumn("trend", _trend(F.col("_later"), F.col("fwi")))
+    return with_risk(trended.drop("_day", "_later", "date", "temp_max", "rh_min", "wind_max", "rain", "days"))
 
 
 def weather_layer(weather: DataFrame, keep: Iterable[str] = ()) -> DataFrame:

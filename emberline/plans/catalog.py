@@ -36,8 +36,8 @@ def _readings(spark: SparkSession, sf: str) -> DataFrame:
     return wx.flatten_responses(standins.weather_responses(spark, sf), keep=["point_id"])
 
 
-def _fwi(spark: SparkSession, sf: str) -> DataFrame:
-    return wx.fwi_layer(_readings(spark, sf), keep=["point_id"])
+def _trended(spark: SparkSession, sf: str) -> DataFrame:
+    return wx.fwi_summary(_readings(spark, sf))
 
 
 def _perimeters(spark: SparkSession, sf: str) -> DataFrame:
@@ -117,7 +117,8 @@ def fwi_forecast(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fwi_trend(spark: SparkSession, sf: str) -> DataFrame:
-    return _fwi(spark, sf).select("point_id", "fwi", F.size("forecast").cast("bigint").alias("n_days"), "trend")
+    readings = _readings(spark, sf).withColumn("n_days", F.size("days").cast("bigint"))
+    return wx.fwi_summary(readings).select("point_id", "fwi", "n_days", "trend")
 
 
 def fwi_layer(spark: SparkSession, sf: str) -> DataFrame:
@@ -128,7 +129,7 @@ def fwi_layer(spark: SparkSession, sf: str) -> DataFrame:
         ),
         "|",
     )
-    return _fwi(spark, sf).withColumn("forecast", text)
+    return wx.fwi_layer(_readings(spark, sf), keep=["point_id"]).withColumn("forecast", text)
 
 
 def fwi_rejected(spark: SparkSession, sf: str) -> DataFrame:
@@ -163,7 +164,7 @@ def grid_weather_join(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fwi_map_view(spark: SparkSession, sf: str) -> DataFrame:
-    return views.fwi_view(_fwi(spark, sf), keep=["point_id"])
+    return views.fwi_view(_trended(spark, sf), keep=["point_id"])
 
 
 def max_fwi_zone(spark: SparkSession, sf: str) -> DataFrame:
@@ -171,7 +172,7 @@ def max_fwi_zone(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def prefire_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return summaries.prefire_summary(_fwi(spark, sf))
+    return summaries.prefire_summary(_trended(spark, sf))
 
 
 def perimeters_unified(spark: SparkSession, sf: str) -> DataFrame:

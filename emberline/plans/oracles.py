@@ -168,7 +168,7 @@ ORACLES = {
         select coalesce(risk_class,'extreme') risk_class, coalesce(risk_label,'Extreme') risk_label,
           coalesce(risk_color,'#7A0000') risk_color, count(*) n, min(fwi) lowest, max(fwi) highest
         from wx left join classes on fwi >= low and fwi < high group by 1, 2, 3""",
-    "fwi_forecast": f"""{_with(WX_TREND)} select point_id, day_i, date, temp_max, rh_min, wind_max, rain, fwi,
+    "fwi_forecast": f"""{_with(WX_TREND)} select point_id, cast(day_i as integer) day_i, date, temp_max, rh_min, wind_max, rain, fwi,
         {RISK_CLASS} risk_class, {RISK_LABEL} risk_label, {RISK_COLOR} color from fc""",
     "fwi_trend": f"{_with(WX_TREND)} select point_id, fwi, n_days, trend from trended",
     "fwi_layer": f"""{_with(WX_TREND)} select point_id, lon, lat, temp_c, rh_pct, wind_kmh, wind_dir_deg, rain_mm, fwi,

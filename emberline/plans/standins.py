@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberline.session import use_all_cores
+
 FORECAST_LENGTH = 5
 
 HOT_RAW = """
@@ -98,21 +100,20 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def weather_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weather responses as they land: a ``current`` struct and ``daily`` parallel arrays."""
-    flat = _view(spark, sf_dir, WX_RAW, "events")
-    days = F.sequence(F.lit(0), F.lit(FORECAST_LENGTH - 1))
-    point = F.col("point_id")
+    flat = spark.sql(WX_RAW, events=use_all_cores(table(spark, sf_dir, "events")))
+    days = range(FORECAST_LENGTH)
+    point, start = F.col("point_id"), F.col("fetched_at").cast("date")
     daily = F.struct(
-        F.transform(days, lambda d: F.date_add(F.col("fetched_at").cast("date"), d).cast("string")).alias("time"),
-        F.transform(
-            days, lambda d: F.when((point + d) % 29 == 0, 0.0).otherwise(F.col("temp_c") + 1.5 * d - 2.0)
+        F.array(*[F.date_add(start, d).cast("string") for d in days]).alias("time"),
+        F.array(
+            *[F.when((point + d) % 29 == 0, 0.0).otherwise(F.col("temp_c") + 1.5 * d - 2.0) for d in days]
         ).alias("temperature_2m_max"),
-        F.transform(
-            days,
-            lambda d: F.when((point + d) % 31 != 0, 5.0 + ((point * 13 + d * 11) % 95).cast("double")),
+        F.array(
+            *[F.when((point + d) % 31 != 0, 5.0 + ((point * 13 + d * 11) % 95).cast("double")) for d in days]
         ).alias("relative_humidity_2m_min"),
-        F.transform(days, lambda d: ((point * 17 + d * 53) % 450).cast("double") / 10.0).alias("wind_speed_10m_max"),
-        F.transform(
-            days, lambda d: F.when((point + d) % 3 == 0, ((point + d) % 83).cast("double") / 10.0).otherwise(0.0)
+        F.array(*[((point * 17 + d * 53) % 450).cast("double") / 10.0 for d in days]).alias("wind_speed_10m_max"),
+        F.array(
+            *[F.when((point + d) % 3 == 0, ((point + d) % 83).cast("double") / 10.0).otherwise(0.0) for d in days]
         ).alias("precipitation_sum"),
     )
     current = F.struct(

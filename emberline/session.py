@@ -25,3 +25,14 @@ def build_session(app_name: str = "emberline", master: str | None = None, **conf
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's own size estimate of ``df`` (the figure behind automatic broadcasts); reads no data."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def use_all_cores(scan: DataFrame) -> DataFrame:
+    """Deal the rows of a scan out evenly when it has too few splits to keep the cores busy.
+
+    For compute-heavy work on small inputs, or on formats read by one task per file. A scan with at
+    least half as many splits as there are cores is returned as it is. Only pass plain scans: counting
+    the splits of a plan with shuffles would run them.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if 2 * scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
