@@ -48,9 +48,8 @@ def active_fire_summary(hotspots: DataFrame, perimeters: DataFrame, *ids: str, l
         F.count_if(F.col("intensity") == "high").alias("high_detections"),
     )
     burning = F.col("hectares") > 0
-    largest = F.max_by(
-        F.struct("name", "hectares", "country", "source"), F.when(burning, F.struct("hectares", *[(-F.col(i)).alias(i) for i in ids]))
-    )
+    order = F.struct((-F.col("hectares")).alias("_size"), *ids)
+    largest = F.min_by(F.struct("name", "hectares", "country", "source"), F.when(burning, order))
     fires = perimeters.agg(
         F.count("*").alias("total_perimeters"),
         total_hectares(F.col("hectares")).alias("total_hectares"),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.schemas import LAYER_PROPERTIES, POLYGON_LAYERS, layer_schema
@@ -20,12 +22,11 @@ def feature_text(df: DataFrame, layer: str) -> Column:
         return F.to_json(
             F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), properties.alias("properties")), keep_nulls
         )
-    # Shapes are raw JSON text and are placed as such, whatever their depth.
+    # Shapes are raw JSON text and are placed as such, whatever their depth; only line breaks have to go.
+    numbers = F.regexp_replace("geometry.coordinates", r"\s+", "")
     shape = F.when(
         F.col("geometry").isNotNull(),
-        F.concat(
-            F.lit('{"type":"'), F.col("geometry.type"), F.lit('","coordinates":'), F.col("geometry.coordinates"), F.lit("}")
-        ),
+        F.concat(F.lit('{"type":"'), F.col("geometry.type"), F.lit('","coordinates":'), numbers, F.lit("}")),
     )
     return F.concat(
         F.lit('{"type":"Feature","geometry":'),
@@ -63,20 +64,22 @@ def write_metadata(row: DataFrame, path: str) -> None:
     row.write.mode("overwrite").option("ignoreNullFields", "false").option("partitionOverwriteMode", "static").json(path)
 
 
-def write_layer(df: DataFrame, layer: str, metadata: DataFrame, path: str, partition_by: str | None = None) -> None:
+def write_layer(
+    df: DataFrame, layer: str, describe: Callable[[DataFrame], DataFrame], path: str, partition_by: str | None = None
+) -> None:
     """Write a layer completely: ``table`` (Parquet), ``features`` (GeoJSON lines), ``metadata``.
 
-    The table is written first and the features are rendered from it, so the layer is computed once.
-    Metadata comes last: a layer that has it is complete.
+    The table is written first; features and metadata (``describe`` of the table) are made from it, so
+    the layer is computed once. Metadata comes last: a layer that has it is complete.
     """
     write_table(df, f"{path}/table", partition_by)
     stored = df.sparkSession.read.schema(df.schema).parquet(f"{path}/table")
     write_features(stored, layer, f"{path}/features")
-    write_metadata(metadata, f"{path}/metadata")
+    write_metadata(describe(stored), f"{path}/metadata")
 
 
-def write_empty_layer(spark, layer: str, error: str, generated_at: str, path: str) -> None:
+def write_empty_layer(spark: SparkSession, layer: str, error: str, generated_at: str, path: str) -> None:
     """An empty but valid layer whose metadata carries ``error``."""
     empty = spark.createDataFrame([], layer_schema(layer))
     note = spark.createDataFrame([(generated_at, error, 0)], "generated_at string, error string, total bigint")
-    write_layer(empty, layer, note, path)
+    write_layer(empty, layer, lambda _: note, path)
