@@ -172,7 +172,7 @@ def start_refresh(
 ) -> StreamingQuery:
     """Start the refresh of one layer. ``available_now`` works off what has landed and stops.
 
-    The stream only lists files (their content is not read here); building reads them as a batch, spread
+    The stream only lists files (their content is not read here, and files of no length are not seen); building reads them as a batch, spread
     over the cluster. The list of one trigger is bounded by ``FILES_PER_TRIGGER``.
     """
     if layer not in BUILDERS:

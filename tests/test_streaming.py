@@ -48,7 +48,7 @@ def test_refresh_keeps_the_last_good_snapshot(spark, tmp_path, out):
 
     # Two pulls at once: the newest working one counts.
     put(feed / "pull=03" / "source=VIIRS_SNPP_NRT" / "a.csv", csv_text(VIIRS_COLUMNS, hit(1, 2), hit(3, 4)))
-    put(feed / "pull=04" / "source=VIIRS_SNPP_NRT" / "a.csv", "")
+    put(feed / "pull=04" / "source=VIIRS_SNPP_NRT" / "a.csv", " \n")
     refresh.run_available_now(spark, str(landing), out, ["hotspots"], clock=lambda: NOW + dt.timedelta(minutes=10))
     assert refresh.read_snapshot(spark, out, "hotspots").count() == 2
     row = refresh.read_status(spark, out).where("layer = 'hotspots'").first()
