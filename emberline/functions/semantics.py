@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,12 +49,16 @@ def plain_number(value: Column) -> Column:
     return F.regexp_replace(value.cast("string"), r"\.0$", "")
 
 
-def in_order(conditions: list[tuple[Column, Column]], default: Column) -> Column:
-    """First condition that holds decides."""
-    if not conditions:
-        return default
-    (head, value), *rest = conditions
-    return reduce(lambda chain, pair: chain.when(*pair), rest, F.when(head, value)).otherwise(default)
+def literal(value) -> str:
+    """A constant as SQL text."""
+    if value is None:
+        return "null"
+    if isinstance(value, float):
+        return f"double('{value}')" if value in (float("inf"), float("-inf")) else f"{value!r}D"
+    if isinstance(value, int):
+        return str(value)
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
 
 
 def equal_lookup(key: Column, table: dict, default) -> Column:
@@ -64,12 +66,15 @@ def equal_lookup(key: Column, table: dict, default) -> Column:
 
     The table is a constant map, which keeps the generated code short however many entries it has.
     """
-    entries = F.create_map(*[F.lit(part) for pair in table.items() for part in pair])
+    entries = F.expr(f"map({', '.join(literal(part) for pair in table.items() for part in pair)})")
     found = F.try_element_at(entries, key)
     return found if default is None else F.coalesce(found, F.lit(default))
 
 
-def range_lookup(value: Column, ranges: list[tuple[float, float, object]], default) -> Column:
-    """Result of the first half-open range ``[low, high)`` that holds ``value``; null stays null."""
-    inside = [((value >= float(low)) & (value < float(high)), F.lit(found)) for low, high, found in ranges]
-    return in_order([(value.isNull(), F.lit(None))] + inside, F.lit(default))
+def range_case(value: str, ranges: list[tuple[float, float, object]], default) -> str:
+    """SQL text: result of the first half-open range ``[low, high)`` that holds ``value``; null stays null."""
+    arms = [f"when {value} is null then null"]
+    for low, high, found in ranges:
+        above = f"{value} >= {literal(float(low))} and " if low != float("-inf") else ""
+        arms.append(f"when {above}{value} < {literal(float(high))} then {literal(found)}")
+    return f"case {' '.join(arms)} else {literal(default)} end"

@@ -10,31 +10,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberline.functions import tables
-from emberline.functions.semantics import cell_id, equal_lookup, number_or_null, range_lookup
+from emberline.functions.semantics import cell_id, equal_lookup, number_or_null, range_case
 from emberline.operators.skew import anti_join
 
 
-def intensity(frp: Column) -> Column:
-    """Intensity class of a radiative power; null (missing or unparseable) is ``unknown``."""
-    return F.coalesce(range_lookup(frp, tables.INTENSITY_RANGES, "extreme"), F.lit("unknown"))
+def intensity(frp: str) -> Column:
+    """Intensity class of a radiative power (SQL text); null (missing or unparseable) is ``unknown``."""
+    return F.expr(f"coalesce({range_case(frp, tables.INTENSITY_RANGES, 'extreme')}, 'unknown')")
 
 
-def marker_radius(frp: Column) -> Column:
-    """Marker size of a radiative power; a missing power counts as the smallest."""
-    return F.coalesce(range_lookup(frp, tables.MARKER_RADIUS, 13), F.lit(4))
+def marker_radius(frp: str) -> Column:
+    """Marker size of a radiative power (SQL text); a missing power counts as the smallest."""
+    return F.expr(f"coalesce({range_case(frp, tables.MARKER_RADIUS, 13)}, 4)")
 
 
-def acquisition_text(date: Column, time: Column) -> Column:
+def acquisition_text(date: str, time: str) -> Column:
     """``date HH:MMZ``, or the date alone without a time. Unpadded times are cut as they come."""
-    clock = F.concat(F.substring(time, 1, 2), F.lit(":"), F.substring(time, 3, 8), F.lit("Z"))
-    return F.when(time != "", F.concat_ws(" ", date, clock)).otherwise(date)
+    clock = f"concat({date}, ' ', substring({time}, 1, 2), ':', substring({time}, 3), 'Z')"
+    return F.expr(f"if({time} <> '', {clock}, {date})")
 
 
-def acquisition_time(date: Column, time: Column) -> Column:
+def acquisition_time(date: str, time: str) -> Column:
     """Typed acquisition time (UTC, zone-free); pads short times, null when it does not parse."""
-    padded = F.lpad(F.when(time == "", F.lit("0")).otherwise(time), 4, "0")
-    text = F.concat(date, F.lit(" "), F.substring(padded, 1, 2), F.lit(":"), F.substring(padded, 3, 2), F.lit(":00"))
-    return text.try_cast("timestamp_ntz")
+    padded = f"lpad({time}, 4, '0')"
+    return F.expr(f"try_cast(concat({date}, ' ', substring({padded}, 1, 2), ':', substring({padded}, 3, 2), ':00') as timestamp_ntz)")
 
 
 def _number(df: DataFrame, name: str) -> Column:
@@ -58,14 +57,14 @@ def normalize(raw: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
             _number(raw, "longitude").alias("lon"),
             _number(raw, "latitude").alias("lat"),
             equal_lookup(feed, labels, None).alias("source"),
-            equal_lookup(feed, metres, None).cast("int").alias("resolution_m"),
+            equal_lookup(feed, metres, None).alias("resolution_m"),
             _number(raw, "frp").alias("frp"),
-            F.coalesce("confidence", F.lit("n")).alias("confidence"),
-            F.coalesce("acq_date", F.lit("")).alias("_date"),
-            F.coalesce("acq_time", F.lit("")).alias("_time"),
-            F.when(F.coalesce("daynight", F.lit("D")) == "D", "Day").otherwise("Night").alias("daynight"),
+            F.expr("coalesce(confidence, 'n') as confidence"),
+            F.expr("coalesce(acq_date, '') as _date"),
+            F.expr("coalesce(acq_time, '') as _time"),
+            F.expr("if(coalesce(daynight, 'D') = 'D', 'Day', 'Night') as daynight"),
         )
-        .where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+        .where("lat is not null and lon is not null")
         .select(
             *keep,
             "lon",
@@ -73,12 +72,12 @@ def normalize(raw: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
             "source",
             "resolution_m",
             "frp",
-            intensity(F.col("frp")).alias("intensity"),
+            intensity("frp").alias("intensity"),
             "confidence",
-            acquisition_text(F.col("_date"), F.col("_time")).alias("acq_datetime"),
+            acquisition_text("_date", "_time").alias("acq_datetime"),
             "daynight",
-            F.col("_date").try_cast("date").alias("acq_date"),
-            acquisition_time(F.col("_date"), F.col("_time")).alias("acq_ts"),
+            F.expr("try_cast(_date as date) as acq_date"),
+            acquisition_time("_date", "_time").alias("acq_ts"),
         )
     )
 

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions import tables
-from emberline.functions.semantics import equal_lookup, in_order, truthy_number, truthy_text
+from emberline.functions.semantics import equal_lookup, literal, truthy_number, truthy_text
 
 Category = tuple[str, str, str, str]
 
@@ -48,19 +47,19 @@ def drop_null_coords(df: DataFrame, falsy: bool = False) -> DataFrame:
     return df.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
 
 
-def _has(category: Category) -> Column:
+def _has(category: Category) -> str:
     key, value, *_ = category
-    return F.coalesce(F.col("tags")[key] == value, F.lit(False))
+    return f"tags[{literal(key)}] = {literal(value)}"
 
 
 def has_any_tag(df: DataFrame, categories: list[Category] = tables.INFRA_CATEGORIES) -> DataFrame:
     """Elements tagged with at least one category."""
-    return df.where(reduce(lambda a, b: a | b, [_has(c) for c in categories]))
+    return df.where(" or ".join(_has(c) for c in categories))
 
 
 def category_of(categories: list[Category]) -> Column:
     """0-based place of the first category an element matches; null for none."""
-    return in_order([(_has(c), F.lit(i)) for i, c in enumerate(categories)], F.lit(None).cast("int"))
+    return F.expr(f"case {' '.join(f'when {_has(c)} then {i}' for i, c in enumerate(categories))} end")
 
 
 def _label(place: Column, categories: list[Category], default: str) -> Column:
@@ -83,16 +82,15 @@ def normalize(elements: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
     placed = drop_null_coords(with_place(keep_element_types(elements)))
     typed = placed.withColumn("_category", category_of(tables.INFRA_CATEGORIES))
     typed = typed.withColumn("_label", _label(F.col("_category"), tables.INFRA_CATEGORIES, tables.INFRA_OTHER[0]))
-    tag = F.col("tags")
 
     def text(*names: str) -> Column:
-        return F.coalesce(*[tag[name] for name in names], F.lit(""))
+        return F.expr(f"coalesce({', '.join(f'tags[{literal(name)}]' for name in names)}, '')")
 
     return typed.select(
         *keep,
         "lon",
         "lat",
-        F.coalesce(truthy_text(tag["name"], tag["name:en"], tag["name:es"]), "_label").alias("name"),
+        F.expr("coalesce(nullif(tags['name'], ''), nullif(tags['name:en'], ''), nullif(tags['name:es'], ''), _label) as name"),
         F.col("_label").alias("type"),
         _color(F.col("_category"), tables.INFRA_CATEGORIES).alias("color"),
         icon(F.col("_label")).alias("icon"),
@@ -104,7 +102,7 @@ def normalize(elements: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
         text("capacity").alias("capacity"),
         text("emergency").alias("emergency"),
         F.lit("OpenStreetMap").alias("source"),
-        F.concat(F.lit("https://www.openstreetmap.org/"), "type", F.lit("/"), F.col("id").cast("string")).alias("osm_url"),
+        F.expr("concat('https://www.openstreetmap.org/', type, '/', cast(id as string)) as osm_url"),
     )
 
 

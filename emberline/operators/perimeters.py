@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions import tables
-from emberline.functions.semantics import grouped, number_or_null, plain_number, truthy_text, whole
+from emberline.functions.semantics import grouped, literal, number_or_null, truthy_text, whole
 
 
 def _constants(values: tuple[str, str, str]) -> list[Column]:
@@ -40,8 +40,9 @@ def normalize_mexico(features: DataFrame, keep: Iterable[str] = ()) -> DataFrame
     """
 
     def first_of(*names: str) -> Column:
-        return truthy_text(*[F.col("properties")[name] for name in names])
+        return F.expr(f"coalesce({', '.join(f'nullif(properties[{literal(name)}], {empty})' for name in names)})")
 
+    empty = literal("")
     named = features.select(
         *keep,
         "geometry",
@@ -120,8 +121,3 @@ def area_text(hectares: Column) -> Column:
     text = F.concat(F.regexp_replace(F.format_number(hectares, 1), r"\.0$", ""), F.lit(" ha"))
     return F.when(hectares != 0, text).otherwise("N/A")
 
-
-__all__ = [
-    "area_text", "fire_card", "first_perimeters", "largest_fire", "normalize_mexico", "normalize_usa",
-    "perimeter_totals", "plain_number", "top_perimeters", "total_hectares", "totals_by_country", "unify",
-]

@@ -29,7 +29,7 @@ def hotspot_view(df: DataFrame, hidden: Iterable[str] = (), keep: Iterable[str]
         "acq_datetime",
         "confidence",
         equal_lookup(F.col("intensity"), tables.INTENSITY_COLORS, tables.INTENSITY_COLORS["unknown"]).alias("color"),
-        marker_radius(power).alias("radius"),
+        marker_radius("frp").alias("radius"),
     )
 
 

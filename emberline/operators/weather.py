@@ -5,12 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.functions import tables
 from emberline.functions.fire_weather import fwi_class, fwi_color, fwi_label, fwi_over_days, weather_is_valid, with_fwi
-from emberline.functions.semantics import cell_id, equal_lookup, truthy_number
+from emberline.functions.semantics import cell_id, equal_lookup, literal
 from emberline.schemas import FORECAST
 
 # A grid of at most this many cells is small enough to send to every task (16 bytes a cell).
@@ -77,48 +77,38 @@ def flatten_responses(responses: DataFrame, keep: Iterable[str] = ()) -> DataFra
         "wind_dir_deg": "wind_direction_10m",
         "rain_mm": "precipitation",
     }
+    readings = [f"coalesce(current.{field}, {literal(tables.WEATHER_DEFAULTS[name])}) as {name}" for name, field in current.items()]
     # The maximum temperatures decide how many days there are; shorter arrays read as null beyond their end.
-    days = F.transform(
-        F.col("daily.temperature_2m_max"),
-        lambda temp, i: F.struct(
-            F.get("daily.time", i).alias("time"),
-            temp.alias("temp"),
-            F.get("daily.relative_humidity_2m_min", i).alias("rh"),
-            F.get("daily.wind_speed_10m_max", i).alias("wind"),
-            F.get("daily.precipitation_sum", i).alias("rain"),
-        ),
+    days = (
+        "transform(daily.temperature_2m_max, (temp, i) -> struct(get(daily.time, i) as time, temp as temp,"
+        " get(daily.relative_humidity_2m_min, i) as rh, get(daily.wind_speed_10m_max, i) as wind,"
+        " get(daily.precipitation_sum, i) as rain)) as days"
     )
-    readings = [
-        F.coalesce(F.col(f"current.{field}"), F.lit(tables.WEATHER_DEFAULTS[name])).alias(name)
-        for name, field in current.items()
-    ]
-    return responses.select(*keep, "lat", "lon", *readings, "fetched_at", days.alias("days"))
+    return responses.selectExpr(*keep, "lat", "lon", *readings, "fetched_at", days)
 
 
 def split_rejected(weather: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Readings the equations are defined for, and the rest."""
-    valid = F.coalesce(weather_is_valid(F.col("rh_pct"), F.col("wind_kmh"), F.col("rain_mm")), F.lit(False))
-    return weather.where(valid), weather.where(~valid)
+    valid = f"coalesce({weather_is_valid('rh_pct', 'wind_kmh', 'rain_mm')}, false)"
+    return weather.where(valid), weather.where(f"not {valid}")
 
 
 def with_risk(df: DataFrame) -> DataFrame:
     """Append class, label and colour of ``fwi``."""
-    return df.select(
+    return df.selectExpr(
         "*",
-        fwi_class(F.col("fwi")).alias("risk_class"),
-        fwi_label(F.col("fwi")).alias("risk_label"),
-        fwi_color(F.col("fwi")).alias("risk_color"),
+        f"{fwi_class('fwi')} as risk_class",
+        f"{fwi_label('fwi')} as risk_label",
+        f"{fwi_color('fwi')} as risk_color",
     )
 
 
-def _day_readings(day: Column) -> Column:
+def _day_readings(day: str) -> str:
     """One forecast day; missing and zero readings fall back to the current ones, rain to none."""
-    return F.struct(
-        F.coalesce(day["time"], F.lit("")).alias("date"),
-        F.coalesce(truthy_number(day["temp"]), F.col("temp_c")).alias("temp_max"),
-        F.coalesce(truthy_number(day["rh"]), F.col("rh_pct")).alias("rh_min"),
-        F.coalesce(truthy_number(day["wind"]), F.col("wind_kmh")).alias("wind_max"),
-        F.coalesce(truthy_number(day["rain"]), F.lit(0.0)).alias("rain"),
+    return (
+        f"struct(coalesce({day}.time, '') as date, coalesce(nullif({day}.temp, 0D), temp_c) as temp_max,"
+        f" coalesce(nullif({day}.rh, 0D), rh_pct) as rh_min, coalesce(nullif({day}.wind, 0D), wind_kmh) as wind_max,"
+        f" coalesce(nullif({day}.rain, 0D), 0D) as rain)"
     )
 
 
@@ -128,19 +118,14 @@ def with_forecast(weather: DataFrame) -> DataFrame:
     The index is computed inside the array, so a cell and its days never part and no shuffle is needed
     to bring them together again.
     """
-    scored = fwi_over_days(F.transform("days", _day_readings), "temp_max", "rh_min", "wind_max", "rain")
-    forecast = F.transform(
-        scored,
-        lambda at: F.struct(
-            at["day"]["date"].alias("date"),
-            at["fwi"].alias("fwi"),
-            fwi_class(at["fwi"]).alias("risk_class"),
-            fwi_label(at["fwi"]).alias("risk_label"),
-            fwi_color(at["fwi"]).alias("color"),
-            *[at["day"][name].alias(name) for name in ("temp_max", "rh_min", "wind_max", "rain")],
-        ),
+    readings = f"transform(days, x -> {_day_readings('x')})"
+    scored = fwi_over_days(readings, "temp_max", "rh_min", "wind_max", "rain")
+    forecast = (
+        f"transform({scored}, d -> struct(d.day.date as date, d.fwi as fwi, {fwi_class('d.fwi')} as risk_class,"
+        f" {fwi_label('d.fwi')} as risk_label, {fwi_color('d.fwi')} as color, d.day.temp_max as temp_max,"
+        f" d.day.rh_min as rh_min, d.day.wind_max as wind_max, d.day.rain as rain))"
     )
-    return weather.withColumn("forecast", F.coalesce(forecast, F.array().cast(FORECAST))).drop("days")
+    return weather.withColumn("forecast", F.coalesce(F.expr(forecast), F.array().cast(FORECAST))).drop("days")
 
 
 def forecast_days(weather: DataFrame, keep: Iterable[str] = ("lat", "lon")) -> DataFrame:
@@ -153,20 +138,19 @@ def forecast_days(weather: DataFrame, keep: Iterable[str] = ("lat", "lon")) -> D
     rows = (
         weather.select(*keep, "temp_c", "rh_pct", "wind_kmh", F.posexplode_outer("days").alias("day_i", "_day"))
         .where("day_i is not null")
-        .select(*keep, "day_i", _day_readings(F.col("_day")).alias("_r"))
+        .selectExpr(*keep, "day_i", f"{_day_readings('_day')} as _r")
         .select(*keep, "day_i", "_r.*")
     )
     return with_risk(with_fwi(rows, "temp_max", "rh_min", "wind_max", "rain"))
 
 
-def _trend(later: Column, now: Column) -> Column:
-    return F.when(later > now * 1.2, "escalating").when(later < now * 0.8, "de-escalating").otherwise("steady")
+def _trend(later: str, now: str) -> str:
+    return f"case when {later} > {now} * 1.2D then 'escalating' when {later} < {now} * 0.8D then 'de-escalating' else 'steady' end"
 
 
 def with_trend(df: DataFrame) -> DataFrame:
     """Append ``trend``: the index on the fourth forecast day against the current one."""
-    later = F.try_element_at("forecast", F.lit(TREND_DAY + 1))["fwi"]
-    return df.withColumn("trend", _trend(later, F.col("fwi")))
+    return df.selectExpr("*", f"{_trend(f'get(forecast, {TREND_DAY}).fwi', 'fwi')} as trend")
 
 
 def fwi_summary(weather: DataFrame) -> DataFrame:
@@ -174,10 +158,10 @@ def fwi_summary(weather: DataFrame) -> DataFrame:
 
     Only the one forecast day that decides the trend is scored.
     """
-    day = F.get(F.transform(F.slice("days", TREND_DAY + 1, 1), _day_readings), F.lit(0))
-    at_day = with_fwi(weather).select("*", day.alias("_day")).select("*", "_day.*")
+    day = f"get(transform(slice(days, {TREND_DAY + 1}, 1), x -> {_day_readings('x')}), 0) as _day"
+    at_day = with_fwi(weather).selectExpr("*", day).select("*", "_day.*")
     scored = with_fwi(at_day, "temp_max", "rh_min", "wind_max", "rain", name="_later")
-    trended = scored.withColumn("trend", _trend(F.col("_later"), F.col("fwi")))
+    trended = scored.selectExpr("*", f"{_trend('_later', 'fwi')} as trend")
     return with_risk(trended.drop("_day", "_later", "date", "temp_max", "rh_min", "wind_max", "rain", "days"))
 
 

@@ -20,12 +20,12 @@ def x():
      ("-3", "low"), ("", "unknown"), ("abc", "unknown"), ("12f", "unknown"), (None, "unknown")],
 )
 def test_intensity_limits(one, text, expected):
-    assert one(intensity(sem.number_or_null(x())), "x string", text) == expected
+    assert one(intensity("try_cast(translate(x, 'dDfF', 'xxxx') as double)"), "x string", text) == expected
 
 
 @pytest.mark.parametrize("frp, radius", [(None, 4), (0.0, 4), (9.9, 4), (10.0, 6), (50.0, 9), (199.9, 9), (200.0, 13)])
 def test_marker_radius(one, frp, radius):
-    assert one(marker_radius(x()), "x double", frp) == radius
+    assert one(marker_radius("x"), "x double", frp) == radius
 
 
 @pytest.mark.parametrize(
@@ -34,7 +34,7 @@ def test_marker_radius(one, frp, radius):
      (999.0, "extreme"), (-1.0, "extreme"), (float("nan"), "extreme"), (None, None)],
 )
 def test_fwi_class_limits(one, value, expected):
-    assert one(fwi_class(x()), "x double", value) == expected
+    assert one(F.expr(fwi_class("x")), "x double", value) == expected
 
 
 @pytest.mark.parametrize("value, cell", [(0.125, 13), (1.005, 100), (2.675, 267), (-0.125, -12), (None, None), (float("inf"), None)])
@@ -50,6 +50,16 @@ def test_cell_ids_do_not_collide(spark):
     assert ids.count() == len(points)
 
 
+@pytest.mark.parametrize("text, number", [("1.5", 1.5), (" 2 ", 2.0), ("1e3", 1000.0), ("12f", None), ("12d", None), ("", None), (None, None)])
+def test_numbers(one, text, number):
+    assert one(sem.number_or_null(x()), "x string", text) == number
+
+
+@pytest.mark.parametrize("value", ["plain", "it's", "back\\slash", "a\\'b", 7, 2.5, None, float("-inf")])
+def test_literals(one, value):
+    assert one(F.expr(sem.literal(value))) == value
+
+
 def test_falsy_fallbacks(one):
     schema = "a string, b string"
     pick = F.coalesce(sem.truthy_text(F.col("a"), F.col("b")), F.lit("none"))
@@ -68,8 +78,8 @@ def test_falsy_fallbacks(one):
 )
 def test_acquisition(one, date, time, text, typed):
     schema = "d string, t string"
-    assert one(acquisition_text(F.col("d"), F.col("t")), schema, date, time) == text
-    assert one(acquisition_time(F.col("d"), F.col("t")), schema, date, time) == typed
+    assert one(acquisition_text("d", "t"), schema, date, time) == text
+    assert one(acquisition_time("d", "t"), schema, date, time) == typed
 
 
 @pytest.mark.parametrize(

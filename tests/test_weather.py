@@ -48,28 +48,27 @@ def test_column_functions_match_the_staged_form(spark):
         (F.col("id") * 3 % 60).cast("double").alias("wind_kmh"),
         F.when(F.col("id") % 3 == 0, (F.col("id") % 40).cast("double") / 2).otherwise(0.0).alias("rain_mm"),
     )
-    t, h, w, p = (F.col(c) for c in ("temp_c", "rh_pct", "wind_kmh", "rain_mm"))
-    whole = fw.fwi(fw.isi(w, fw.ffmc(t, h, w, p)), fw.bui())
-    scored = fw.with_fwi(grid, keep_components=True).withColumn("direct", whole)
+    whole = fw.fwi(fw.isi("wind_kmh", f"({fw.ffmc('temp_c', 'rh_pct', 'wind_kmh', 'rain_mm')})"), fw.bui())
+    scored = fw.with_fwi(grid, keep_components=True).withColumn("direct", F.expr(whole))
     assert scored.where("fwi is null or fwi <> direct").count() == 0
     assert scored.where("not ffmc between 0 and 101 or fwi < 0").count() == 0
     # At one moisture code, more wind never lowers the index.
     rising = spark.range(60).select(F.col("id").cast("double").alias("w")).withColumn(
-        "i", fw.fwi(fw.isi(F.col("w"), F.lit(85.0)), fw.bui())
+        "i", F.expr(fw.fwi(fw.isi("w", "85D"), fw.bui()))
     )
     values = [r["i"] for r in rising.orderBy("w").collect()]
     assert values == sorted(values)
 
 
 def test_buildup_index_branches(one):
-    assert one(fw.bui()) == pytest.approx(32.0)
-    assert one(fw.bui(200.0, 100.0)) == pytest.approx(200 - (1 - 80 / 240) * (0.92 + (0.0114 * 200) ** 1.7))
-    assert one(fw.fwi(F.lit(10.0), F.lit(120.0))) > one(fw.fwi(F.lit(10.0), F.lit(32.0)))
+    assert one(F.expr(fw.bui())) == pytest.approx(32.0)
+    assert one(F.expr(fw.bui("200D", "100D"))) == pytest.approx(200 - (1 - 80 / 240) * (0.92 + (0.0114 * 200) ** 1.7))
+    assert one(F.expr(fw.fwi("10D", "120D"))) > one(F.expr(fw.fwi("10D", "32D")))
 
 
 @pytest.mark.parametrize("previous", [5.0, 85.0])
 def test_rain_only_wets(one, previous):
-    codes = [one(fw.ffmc(F.lit(10.0), F.lit(90.0), F.lit(0.0), F.lit(rain), previous)) for rain in (0.0, 0.5, 1.0, 5.0, 80.0, 500.0)]
+    codes = [one(F.expr(fw.ffmc("10D", "90D", "0D", f"{rain}D", f"{previous}D"))) for rain in (0.0, 0.5, 1.0, 5.0, 80.0, 500.0)]
     assert codes[0] == codes[1] and codes[1:] == sorted(codes[1:], reverse=True) and 0 <= codes[-1] <= 101
 
 
