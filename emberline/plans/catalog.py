@@ -33,7 +33,7 @@ def _deduped(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _readings(spark: SparkSession, sf: str) -> DataFrame:
-    return wx.flatten_responses(standins.weather_responses(spark, sf), keep=["point_id"])
+    return wx.flatten_responses(standins.weather_responses(spark, sf, spread=True), keep=["point_id"])
 
 
 def _trended(spark: SparkSession, sf: str) -> DataFrame:
@@ -275,7 +275,7 @@ def layer_metadata(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("weather").alias("layer"), "generated_at", "source",
         F.col("total_points").alias("total"), F.concat_ws("=", F.lit("errors"), F.col("errors").cast("string")).alias("details"),
     )
-    fwi = summaries.fwi_metadata(_readings(spark, sf), GENERATED_AT).select(
+    fwi = summaries.fwi_metadata(standins.weather_responses(spark, sf), GENERATED_AT).select(
         F.lit("fwi").alias("layer"), "generated_at", "source", F.col("total_points").alias("total"),
         F.array_join(
             F.transform(F.map_entries("fwi_classes"), lambda e: F.concat_ws(":", e["key"], e["value"]["range"], e["value"]["color"])), "|"

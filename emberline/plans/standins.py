@@ -98,53 +98,53 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, HOT_RAW, "events")
 
 
-def weather_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weather responses as they land: a ``current`` struct and ``daily`` parallel arrays."""
-    flat = spark.sql(WX_RAW, events=use_all_cores(table(spark, sf_dir, "events")))
-    days = range(FORECAST_LENGTH)
-    point, start = F.col("point_id"), F.col("fetched_at").cast("date")
-    daily = F.struct(
-        F.array(*[F.date_add(start, d).cast("string") for d in days]).alias("time"),
-        F.array(
-            *[F.when((point + d) % 29 == 0, 0.0).otherwise(F.col("temp_c") + 1.5 * d - 2.0) for d in days]
-        ).alias("temperature_2m_max"),
-        F.array(
-            *[F.when((point + d) % 31 != 0, 5.0 + ((point * 13 + d * 11) % 95).cast("double")) for d in days]
-        ).alias("relative_humidity_2m_min"),
-        F.array(*[((point * 17 + d * 53) % 450).cast("double") / 10.0 for d in days]).alias("wind_speed_10m_max"),
-        F.array(
-            *[F.when((point + d) % 3 == 0, ((point + d) % 83).cast("double") / 10.0).otherwise(0.0) for d in days]
-        ).alias("precipitation_sum"),
-    )
-    current = F.struct(
-        F.col("temp_c").alias("temperature_2m"),
-        F.col("rh_pct").alias("relative_humidity_2m"),
-        F.col("wind_kmh").alias("wind_speed_10m"),
-        F.col("wind_dir_deg").alias("wind_direction_10m"),
-        F.col("rain_mm").alias("precipitation"),
+def weather_responses(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """Weather responses as they land: a ``current`` struct and ``daily`` parallel arrays.
+
+    ``spread`` deals a small input out to all cores, for work that is heavy per row.
+    """
+    events = table(spark, sf_dir, "events")
+    flat = spark.sql(WX_RAW, events=use_all_cores(events) if spread else events)
+
+    def per_day(text: str) -> str:
+        return f"array({', '.join(text.format(d=d) for d in range(FORECAST_LENGTH))})"
+
+    daily = {
+        "time": "cast(date_add(cast(fetched_at as date), {d}) as string)",
+        "temperature_2m_max": "if((point_id + {d}) % 29 = 0, 0D, temp_c + 1.5D * {d} - 2D)",
+        "relative_humidity_2m_min": "if((point_id + {d}) % 31 <> 0, 5D + cast((point_id * 13 + {d} * 11) % 95 as double), null)",
+        "wind_speed_10m_max": "cast((point_id * 17 + {d} * 53) % 450 as double) / 10D",
+        "precipitation_sum": "if((point_id + {d}) % 3 = 0, cast((point_id + {d}) % 83 as double) / 10D, 0D)",
+    }
+    return flat.selectExpr(
+        "point_id",
+        "lat",
+        "lon",
+        "fetched_at",
+        "struct(temp_c as temperature_2m, rh_pct as relative_humidity_2m, wind_kmh as wind_speed_10m,"
+        " wind_dir_deg as wind_direction_10m, rain_mm as precipitation) as current",
+        f"struct({', '.join(f'{per_day(text)} as {name}' for name, text in daily.items())}) as daily",
     )
-    return flat.select("point_id", "lat", "lon", "fetched_at", current.alias("current"), daily.alias("daily"))
 
 
 def responses_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same feed with some responses lacking their current readings."""
     return weather_responses(spark, sf_dir).withColumn(
-        "current", F.when(F.col("point_id") % 101 != 0, F.col("current"))
+        "current", F.expr("if(point_id % 101 <> 0, current, null)")
     )
 
 
+NO_SHAPE = "cast(null as struct<type: string, coordinates: string>) as geometry"
+
+
 def usa_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    properties = F.struct(
-        F.col("incident_name").alias("poly_IncidentName"),
-        F.col("gis_acres").alias("poly_GISAcres"),
-        F.col("create_date").alias("poly_CreateDate"),
-        F.col("update_date").alias("poly_DateCurrent"),
-        F.col("category").alias("poly_PerimeterCategory"),
-        F.col("behavior").alias("irwin_FireBehaviorGeneral"),
+    return _view(spark, sf_dir, WFIGS_RAW, "orders").selectExpr(
+        "id",
+        NO_SHAPE,
+        "struct(incident_name as poly_IncidentName, gis_acres as poly_GISAcres, create_date as poly_CreateDate,"
+        " update_date as poly_DateCurrent, category as poly_PerimeterCategory,"
+        " behavior as irwin_FireBehaviorGeneral) as properties",
     )
-    no_shape = F.lit(None).cast("struct<type: string, coordinates: string>")
-    raw = _view(spark, sf_dir, WFIGS_RAW, "orders")
-    return raw.select("id", no_shape.alias("geometry"), properties.alias("properties"))
 
 
 def mexico_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,9 +155,8 @@ def mexico_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         "SUPERFICIE": "superficie",
         "ESTADO": "estado",
     }
-    no_shape = F.lit(None).cast("struct<type: string, coordinates: string>")
     raw = _view(spark, sf_dir, CONAFOR_RAW, "supplier")
-    return raw.select("id", no_shape.alias("geometry"), _present(columns).alias("properties"))
+    return raw.selectExpr("id", NO_SHAPE, f"{_present(columns)} as properties")
 
 
 def osm_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,22 +168,20 @@ def osm_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
         "phone": "phone",
         "contact:phone": "contact_phone",
     }
-    way = F.col("el_type") == "way"
-    raw = _view(spark, sf_dir, OSM_RAW, "customer")
-    return raw.select(
-        F.col("el_type").alias("type"),
+    return _view(spark, sf_dir, OSM_RAW, "customer").selectExpr(
+        "el_type as type",
         "id",
-        F.when(~way, F.col("lat")).alias("lat"),
-        F.when(~way, F.col("lon")).alias("lon"),
-        F.when(way, F.struct("lat", "lon")).alias("center"),
-        _present(columns).alias("tags"),
+        "if(el_type = 'way', null, lat) as lat",
+        "if(el_type = 'way', null, lon) as lon",
+        "if(el_type = 'way', struct(lat, lon), null) as center",
+        f"{_present(columns)} as tags",
     )
 
 
-def _present(columns: dict[str, str]):
+def _present(columns: dict[str, str]) -> str:
     """Map of the columns that are not null."""
-    pairs = [part for key, column in columns.items() for part in (F.lit(key), F.col(column))]
-    return F.map_filter(F.create_map(*pairs), lambda _, value: value.isNotNull())
+    pairs = ", ".join(f"'{key}', {column}" for key, column in columns.items())
+    return f"map_filter(map({pairs}), (k, v) -> v is not null)"
 
 
 def layer_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
