@@ -13,7 +13,6 @@ HOT_ROWS = 500_000
 # The broadcast list never holds more keys than this, whatever the data. Keys beyond it are joined by
 # shuffle like any other: each of them holds less than 1/MAX_HOT_KEYS of the rows.
 MAX_HOT_KEYS = 10_000
-SPREAD = 1 << 20
 
 
 def anti_join(
@@ -49,12 +48,14 @@ def anti_join(
     missing = F.lit(False)
     for key in keys:
         missing = missing | F.col(key).isNull()
-    row = F.monotonically_increasing_id()
+    # Both sides join on a fingerprint of the keys as well. Rows that cannot match carry their row number
+    # instead, which sends each of them somewhere else; whatever it happens to equal, their keys do not match.
+    fingerprint = F.xxhash64(*keys)
+    decided = F.col("_covered").isNotNull() | missing
     routed = (
         probe.join(F.broadcast(verdicts), keys, "left")
         .where(~F.coalesce("_covered", F.lit(False)))
-        .withColumn("_spread", F.when(F.col("_covered").isNotNull() | missing, 1 + F.pmod(row, F.lit(SPREAD))).otherwise(0))
+        .withColumn("_spread", F.when(decided, F.monotonically_increasing_id()).otherwise(fingerprint))
         .drop("_covered")
     )
-    build = seen.withColumn("_spread", F.lit(0).cast("bigint"))
-    return routed.join(build, [*keys, "_spread"], "left_anti").drop("_spread")
+    return routed.join(seen.withColumn("_spread", fingerprint), [*keys, "_spread"], "left_anti").drop("_spread")

@@ -85,6 +85,21 @@ def test_anti_join_keeps_null_keys_and_uncovered_hot_keys(spark, guard):
     assert {r["k"]: r["count"] for r in left} == {None: 50, 1: 50}
 
 
+def test_uncovered_hot_key_is_spread_over_tasks(spark):
+    probe = spark.range(4000).select((F.col("id") * 0 + 1).alias("k"), "id").union(spark.range(100).select((F.col("id") + 5).alias("k"), "id"))
+    seen = spark.range(50).select((F.col("id") + 5).alias("k"))
+    before = {n: spark.conf.get(n) for n in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        left = anti_join(probe, seen, ["k"], guard=True, hot_rows=1000)
+        sizes = [r["count"] for r in left.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert sum(sizes) == 4050 and len(sizes) == 4 and max(sizes) < 1500
+
+
 def test_guarded_plan_has_no_cross_join(spark):
     df = spark.createDataFrame(list(_random_hits(100)), HITS)
     plan = det.dedup_cross_sensor(df, guard=True)._jdf.queryExecution().toString()
