@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_BUCKETS = 2_000
+MAX_BUCKETS = 10_000
 
 
 def with_position(df: DataFrame, order_by: str, *ties: str, buckets: int | None = None, name: str = "position") -> DataFrame:

@@ -14,7 +14,7 @@ from emberline.operators import perimeters as per
 from emberline.operators import status, summaries
 from emberline.operators import weather as wx
 from emberline.session import use_all_cores
-from emberline.sinks.geojson import write_empty_layer, write_layer
+from emberline.sinks.geojson import write_empty_layer, write_layer, write_table
 from emberline.sources import detections as detection_files
 from emberline.sources import documents
 from emberline.sources.layers import read_layer
@@ -42,9 +42,12 @@ def run_weather(spark: SparkSession, landed: str, weather_out: str, fwi_out: str
         write_empty_layer(spark, "weather", scan.error, _iso(as_of), weather_out)
         write_empty_layer(spark, "fwi", scan.error, _iso(as_of), fwi_out)
         return scan.error
-    good, _ = wx.split_missing(scan.rows)
-    readings = wx.flatten_responses(use_all_cores(good))
-    counts = summaries.weather_metadata(scan.rows, _iso(as_of))
+    # Parse the JSON once. What follows reads only the columns it needs, as often as it needs them.
+    write_table(use_all_cores(scan.rows), f"{fwi_out}/staged")
+    responses = spark.read.schema(scan.rows.schema).parquet(f"{fwi_out}/staged")
+    good, _ = wx.split_missing(responses)
+    readings = wx.flatten_responses(good)
+    counts = summaries.weather_metadata(responses, _iso(as_of))
     write_layer(wx.weather_layer(readings), "weather", lambda _: counts, weather_out)
     write_layer(wx.fwi_layer(readings), "fwi", lambda table: summaries.fwi_metadata(table, _iso(as_of)), fwi_out)
     return None
