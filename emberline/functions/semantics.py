@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,6 +36,16 @@ def cell_id(lon: Column, lat: Column, per_degree: int = 100) -> Column:
     return cell_index(lon, per_degree) * 4294967296 + cell_index(lat, per_degree)
 
 
+def utc_naive(moment: dt.datetime) -> dt.datetime:
+    """The UTC wall time of ``moment``; a moment without zone is taken as UTC."""
+    return moment.astimezone(dt.timezone.utc).replace(tzinfo=None) if moment.tzinfo else moment
+
+
+def utc_literal(moment: dt.datetime) -> Column:
+    """``moment`` as a zone-free constant, whatever the session's time zone."""
+    return F.expr(f"timestamp_ntz'{utc_naive(moment).isoformat(sep=' ')}'")
+
+
 def whole(value: Column) -> Column:
     """Nearest whole number, halves up, as BIGINT."""
     return F.floor(value + 0.5)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberline.functions import tables
-from emberline.functions.semantics import cell_id, equal_lookup, number_or_null, range_case
+from emberline.functions.semantics import cell_id, equal_lookup, number_or_null, range_case, utc_literal, utc_naive
 from emberline.operators.skew import anti_join
 
 
@@ -98,12 +98,12 @@ def lookback(df: DataFrame, as_of: dt.datetime, days: int = 1) -> DataFrame:
     """
     if not 1 <= days <= 10:
         raise ValueError("days must lie between 1 and 10")
-    since = as_of - dt.timedelta(days=days)
-    since_ts, until_ts = F.lit(since).cast("timestamp_ntz"), F.lit(as_of).cast("timestamp_ntz")
+    until = utc_naive(as_of)
+    since = until - dt.timedelta(days=days)
     return df.where(
-        F.col("acq_date").between(F.lit(since.date()), F.lit(as_of.date()))
-        & (F.col("acq_ts") > since_ts)
-        & (F.col("acq_ts") <= until_ts)
+        F.col("acq_date").between(F.lit(since.date()), F.lit(until.date()))
+        & (F.col("acq_ts") > utc_literal(since))
+        & (F.col("acq_ts") <= utc_literal(until))
     )
 
 

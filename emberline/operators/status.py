@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberline.functions import tables
-from emberline.functions.semantics import equal_lookup
+from emberline.functions.semantics import equal_lookup, utc_literal
 
 DAY, HOUR, MINUTE = 86400, 3600, 60
 
@@ -56,7 +56,7 @@ def with_freshness(status: DataFrame, as_of: dt.datetime) -> DataFrame:
         present, when = F.coalesce(raw != "", F.lit(False)), parse_time(raw)
     else:
         present, when = raw.isNotNull(), raw
-    clock = F.lit(as_of).cast("timestamp_ntz") if isinstance(dtype, T.TimestampNTZType) else F.lit(_utc(as_of))
+    clock = utc_literal(as_of) if isinstance(dtype, T.TimestampNTZType) else F.lit(_utc(as_of))
     aged = status.withColumn("age_seconds", age_seconds(when, clock)).withColumn("_present", present)
     age, known = F.col("age_seconds"), F.col("_present")
     failed = F.col("error").isNotNull()

@@ -16,7 +16,8 @@ ROWS_PER_FILE = 5_000_000
 def feature_text(df: DataFrame, layer: str) -> Column:
     """One GeoJSON feature per row; null properties are written as null."""
     properties = F.struct(*[F.col(name) for name in LAYER_PROPERTIES[layer].fieldNames() if name in df.columns])
-    keep_nulls = {"ignoreNullFields": "false"}
+    iso = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx"
+    keep_nulls = {"ignoreNullFields": "false", "timestampFormat": iso}
     if layer not in POLYGON_LAYERS:
         geometry = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates"))
         return F.to_json(

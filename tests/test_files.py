@@ -147,6 +147,7 @@ def test_weather_job(spark, documents, tmp_path):
     by_cell = {tuple(f["geometry"]["coordinates"]): f["properties"] for f in features}
     for lat, lon, *_, index, cls, trend in golden.CURRENT:
         assert (by_cell[lon, lat]["fwi"], by_cell[lon, lat]["trend"]) == (index, trend)
+    assert {p["fetched_at"] for p in by_cell.values()} == {"2026-07-02T20:36:48.950077+00:00"}
     restored = layers.read_features(spark, "fwi", f"{fwi}/features").rows
     assert restored.schema == layer_schema("fwi")
     assert restored.selectExpr("size(forecast) n", "fetched_at is not null f").distinct().collect() == [(5, True)]

@@ -37,3 +37,12 @@ def test_query_matches_oracle(spark, oracle, name):
 
 def test_entry(spark):
     assert {r["intensity"] for r in contract.entry(spark).collect()} <= {"low", "moderate", "high", "extreme", "unknown"}
+
+
+@pytest.mark.parametrize("name", ["hotspot_lookback", "layer_last_good", "fwi_layer", "perimeters_unified"])
+def test_results_do_not_depend_on_the_session_zone(spark, oracle, name):
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        test_query_matches_oracle(spark, oracle, name)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

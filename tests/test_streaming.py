@@ -141,3 +141,17 @@ def test_checkpoints_of_two_outputs_differ(spark):
     shared = spark.conf.get("spark.checkpoint.dir", None)
     assert first != second
     assert first.startswith(shared) if shared else first == "/o/checkpoints"
+
+
+def test_periodic_refresh_picks_up_new_pulls(spark, tmp_path, out):
+    feed = tmp_path / "landing" / "hotspots"
+    put(feed / "pull=1" / "source=VIIRS_SNPP_NRT" / "a.csv", csv_text(VIIRS_COLUMNS, hit(10, 20)))
+    query = refresh.start_refresh(spark, "hotspots", str(tmp_path / "landing"), out, interval="1 second", clock=clock)
+    try:
+        query.processAllAvailable()
+        assert refresh.read_snapshot(spark, out, "hotspots").count() == 1
+        put(feed / "pull=2" / "source=VIIRS_SNPP_NRT" / "a.csv", csv_text(VIIRS_COLUMNS, hit(1, 2), hit(3, 4), hit(5, 6)))
+        query.processAllAvailable()
+        assert refresh.read_snapshot(spark, out, "hotspots").count() == 3
+    finally:
+        query.stop()
