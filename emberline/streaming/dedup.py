@@ -15,9 +15,10 @@ def dedup_stream(
 
     ``detections`` is a stream of normalised detections. Streams cannot be anti-joined, so the coarse
     side is left-joined within one day and kept where nothing matched; the watermark (``delay``, the
-    latency of the feed) decides when that is final. Fine cells are reduced to one row per cell and day
-    first. A burning cell can hold a large share of the coarse rows: these are spread over ``salts``
-    keys, and the reduced fine cells are repeated for each.
+    latency of the feed) decides when that is final. A burning cell can hold a large share of all rows, so
+    both sides are spread over ``salts`` keys: fine rows are reduced to one per cell, day and salt, and these
+    few are repeated for each salt of the coarse side. Meeting several of them changes nothing, since
+    coarse rows that meet any are dropped.
 
     Fine detections pass at once; columns are those of ``detections``.
     """
@@ -26,16 +27,23 @@ def dedup_stream(
     fine = F.col("source").contains("VIIRS")
     coarse = F.col("source").contains("MODIS")
 
+    salt = F.pmod(F.xxhash64(id_column), F.lit(salts)).cast("int")
     seen = (
         celled.where(fine)
-        .select(F.col("_cell").alias("_fine_cell"), F.col("acq_date").alias("_fine_date"), F.col("_ts").alias("_fine_ts"))
+        .select(
+            F.col("_cell").alias("_fine_cell"),
+            F.col("acq_date").alias("_fine_date"),
+            F.col("_ts").alias("_fine_ts"),
+            salt.alias("_part"),
+        )
         .withWatermark("_fine_ts", delay)
-        .dropDuplicatesWithinWatermark(["_fine_cell", "_fine_date"])
+        .dropDuplicatesWithinWatermark(["_fine_cell", "_fine_date", "_part"])
+        .drop("_part")
         .withColumn("_fine_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
     waiting = (
         celled.where(coarse)
-        .withColumn("_salt", F.pmod(F.xxhash64(id_column), F.lit(salts)).cast("int"))
+        .withColumn("_salt", salt)
         .withWatermark("_ts", delay)
     )
     unmatched = (
