@@ -107,10 +107,6 @@ def lookback(df: DataFrame, as_of: dt.datetime, days: int = 1) -> DataFrame:
     )
 
 
-def within_bbox(df: DataFrame, west: float, south: float, east: float, north: float) -> DataFrame:
-    return df.where(F.col("lat").between(south, north) & F.col("lon").between(west, east))
-
-
 def dedup_cross_sensor(
     df: DataFrame,
     keep: str = "VIIRS",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from emberline.functions import tables
 from emberline.functions.semantics import equal_lookup, literal, truthy_number, truthy_text
+from emberline.operators.space import within_bbox
 
 Category = tuple[str, str, str, str]
 
@@ -70,10 +71,6 @@ def _color(place: Column, categories: list[Category]) -> Column:
     return equal_lookup(place, {i: c[3] for i, c in enumerate(categories)}, tables.INFRA_OTHER[1])
 
 
-def within_bbox(df: DataFrame, west: float, south: float, east: float, north: float) -> DataFrame:
-    return df.where(F.col("lat").between(south, north) & F.col("lon").between(west, east))
-
-
 def normalize(elements: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
     """Elements (type, id, lat, lon, center, tags) to the infrastructure layer.
 

@@ -15,6 +15,7 @@ from emberline.operators import infrastructure as infra
 from emberline.operators import perimeters as per
 from emberline.operators import positions, status, summaries, views
 from emberline.operators import weather as wx
+from emberline.operators.space import within_bbox
 from emberline.plans import standins
 from emberline.sinks.geojson import feature_text
 
@@ -80,7 +81,7 @@ def hotspot_lookback(spark: SparkSession, sf: str) -> DataFrame:
 
 def hotspot_world(spark: SparkSession, sf: str) -> DataFrame:
     """Detections inside the world box, per source."""
-    world = det.within_bbox(_hotspots(spark, sf), -180.0, -90.0, 180.0, 90.0)
+    world = within_bbox(_hotspots(spark, sf), -180.0, -90.0, 180.0, 90.0)
     return det.count_by(world, "source")
 
 
@@ -138,8 +139,11 @@ def fwi_rejected(spark: SparkSession, sf: str) -> DataFrame:
         "rain_mm", F.when(F.col("point_id") % 7 == 0, -1.0).otherwise(F.col("rain_mm"))
     )
     accepted, rejected = wx.split_rejected(readings)
-    counted = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("outcome"), "n") for name, df in (("accepted", accepted), ("rejected", rejected))]
-    return counted[0].unionByName(counted[1])
+
+    def counted(df: DataFrame, outcome: str) -> DataFrame:
+        return df.agg(F.count("*").alias("n")).select(F.lit(outcome).alias("outcome"), "n")
+
+    return counted(accepted, "accepted").unionByName(counted(rejected, "rejected"))
 
 
 def weather_layer(spark: SparkSession, sf: str) -> DataFrame:
@@ -229,7 +233,7 @@ def infra_viewport(spark: SparkSession, sf: str) -> DataFrame:
 
 def infra_bbox(spark: SparkSession, sf: str) -> DataFrame:
     """Categorised elements inside the default region, bounds read from their text form."""
-    region = infra.within_bbox(
+    region = within_bbox(
         infra.normalize(infra.has_any_tag(standins.osm_elements(spark, sf))), **infra.parse_bbox(tables.INFRA_BBOX)
     )
     return region.select("osm_id", "type", "lon", "lat")
@@ -284,7 +288,9 @@ def layer_metadata(spark: SparkSession, sf: str) -> DataFrame:
     fires = summaries.perimeter_metadata(_perimeters(spark, sf), GENERATED_AT).select(
         F.lit("perimeters").alias("layer"), "generated_at", F.concat_ws("; ", "source_usa", "source_mexico").alias("source"),
         F.col("total_fires").alias("total"),
-        F.concat_ws("|", F.format_string("usa=%d", "usa_fires"), F.format_string("mexico=%d", "mexico_fires"), F.concat(F.lit("ha="), F.col("total_hectares").cast("decimal(30,1)").cast("string"))).alias("details"),
+        F.expr(
+            "concat('usa=', usa_fires, '|mexico=', mexico_fires, '|ha=', cast(total_hectares as decimal(30,1)))"
+        ).alias("details"),
     )
     places = summaries.infrastructure_metadata(_infrastructure(spark, sf), GENERATED_AT).select(
         F.lit("infrastructure").alias("layer"), "generated_at", "source", "total",

@@ -13,6 +13,7 @@ from emberline.operators import infrastructure as infra
 from emberline.operators import perimeters as per
 from emberline.operators import status, summaries
 from emberline.operators import weather as wx
+from emberline.operators.space import within_bbox
 from emberline.session import use_all_cores
 from emberline.sinks.geojson import write_empty_layer, write_layer, write_table
 from emberline.sources import detections as detection_files
@@ -78,7 +79,7 @@ def run_infrastructure(
         write_empty_layer(spark, "infrastructure", scan.error, _iso(as_of), out)
         return scan.error
     chosen = infra.normalize(infra.has_any_tag(scan.rows))
-    layer = infra.within_bbox(chosen, **infra.parse_bbox(bbox))
+    layer = within_bbox(chosen, **infra.parse_bbox(bbox))
     write_layer(
         layer, "infrastructure", lambda table: summaries.infrastructure_metadata(table, _iso(as_of), bbox), out
     )
