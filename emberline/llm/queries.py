@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, licenses, secrets, warc
+from . import bpe, chat, fingerprints, labelled, licenses, quality, secrets, toxicity, warc
 from .staging import new_folder
 
 
@@ -18,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, unseen = table(spark, sf_dir, "documents").select("doc_id", "text"), labelled.held_out(3, 1)
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), unseen)
+    return quality.classify(docs, model).select("doc_id", unseen.alias("held_out"), "score", "predicted")
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
 
@@ -33,6 +39,12 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, unseen = table(spark, sf_dir, "documents").select("doc_id", "text"), labelled.held_out(5, 0)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), unseen)
+    return toxicity.classify(docs, model).select("doc_id", unseen.alias("held_out"), "score", "predicted")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     arcs, warcs = new_folder(spark, "arc"), new_folder(spark, "warc")
     warc.write_arc(table(spark, sf_dir, "pages"), arcs)
