@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, fingerprints, labelled, licenses, quality, secrets, toxicity, warc
+from . import bpe, chat, decontaminate, fingerprints, jaccard, labelled, licenses, quality, secrets, toxicity, warc
 from .staging import new_folder
 
 
@@ -113,5 +113,10 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(rows, public_tokenizers.path("byte_bpe_50k.json")).mapInArrow(_read_back, CHAT_RESULT)
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.link_components(docs).select("doc_id", "n_shingles", "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: value for name, value in globals().items() if name.startswith("op") and callable(value)}
