@@ -85,7 +85,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-CHAT_RESULT = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_tokens bigint"
+CHAT_RESULT = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +99,7 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             arrays = {name: value.values.to_numpy(zero_copy_only=False) for name, value in row.items()}
             turns, loss = chat.parse(text), chat.masked_text(text, arrays)
             said = "".join(f"{role}\n{body}\n" for role, body in turns)
-            rows.append((conv, len(turns), sha(said), len(loss), sha(loss), len(text), len(arrays["token_ids"])))
+            rows.append((conv, len(turns), sha(said), len(loss), sha(loss), len(text)))
         names = [part.split()[0] for part in CHAT_RESULT.split(", ")]
         columns = list(zip(*rows)) if rows else [[]] * len(names)
         kinds = [pa.int64() if "bigint" in part else pa.string() for part in CHAT_RESULT.split(", ")]
