@@ -78,7 +78,8 @@ class Model:
 
 
 def train(
-    examples: list, counts: dict[int, int], size: int = 4, epochs: int = 10, rate: float = 0.1, decay: float = 2e-4, least: int = 4, apart_by: float = 3.0, seed: int = 5
+    examples: list, counts: dict[int, int], size: int = 4, epochs: int = 10, rate: float = 0.1, decay: float = 2e-4, least: int = 4, apart_by: float = 3.0, factor_rate: float = 0.01,
+    spread: float = 0.01, seed: int = 5,
 ) -> Model:
     """Each step sees a random share of its document's terms, so that no term leans on others to carry the label."""
     n = [sum(1 for label, _, _ in examples if label == c) for c in (0, 1)]
@@ -102,7 +103,7 @@ def train(
         at[at == len(terms)] = 0
         held.append((label, at[terms[at] == own] if len(terms) else at[:0]))
     random = np.random.default_rng(seed)
-    weights, factors, bias = np.zeros(len(terms)), random.normal(0, 0.01, (len(terms), size)), 0.0
+    weights, factors, bias = np.zeros(len(terms)), random.normal(0, spread, (len(terms), size)), 0.0
     steps_w, steps_f, step_b = np.full(len(terms), 1e-2), np.full((len(terms), size), 1e-2), 1e-2
     for _ in range(epochs):
         for i in random.permutation(len(held)):
@@ -119,17 +120,17 @@ def train(
             weights[own] -= rate * grad / np.sqrt(steps_w[own])
             grad = np.clip(error * (total - rows), -1, 1) + decay * rows
             steps_f[own] += grad * grad
-            factors[own] = rows - 0.1 * rate * grad / np.sqrt(steps_f[own])
+            factors[own] = rows - factor_rate * grad / np.sqrt(steps_f[own])
             step_b += error * error
             bias -= rate * error / np.sqrt(step_b)
     prior = np.log(counts[1] / n[1]) - np.log(counts[0] / n[0])
     return Model(terms, weights, factors, float(bias + prior))
 
 
-def fit(docs: DataFrame, labels: DataFrame, unseen: Column, label: str = "toxic", per_class: int = 2500) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, unseen: Column, label: str = "toxic", per_class: int = 2500, **training) -> Model:
     """Train on at most ``per_class`` labelled documents of each class, those of ``unseen`` left out."""
     chosen, counts = labelled.sample(docs, labels, label, unseen, per_class)
-    return train(labelled.collected(chosen, text_terms), counts)
+    return train(labelled.collected(chosen, text_terms), counts, **training)
 
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:
