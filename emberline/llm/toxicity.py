@@ -79,7 +79,7 @@ class Model:
 
 def train(
     examples: list, counts: dict[int, int], size: int = 4, epochs: int = 10, rate: float = 0.1, decay: float = 2e-4, least: int = 4, apart_by: float = 3.0, factor_rate: float = 0.01,
-    spread: float = 0.01, seed: int = 5,
+    factor_spread: float = 0.01, seed: int = 5,
 ) -> Model:
     """Each step sees a random share of its document's terms, so that no term leans on others to carry the label."""
     n = [sum(1 for label, _, _ in examples if label == c) for c in (0, 1)]
@@ -103,7 +103,7 @@ def train(
         at[at == len(terms)] = 0
         held.append((label, at[terms[at] == own] if len(terms) else at[:0]))
     random = np.random.default_rng(seed)
-    weights, factors, bias = np.zeros(len(terms)), random.normal(0, spread, (len(terms), size)), 0.0
+    weights, factors, bias = np.zeros(len(terms)), random.normal(0, factor_spread, (len(terms), size)), 0.0
     steps_w, steps_f, step_b = np.full(len(terms), 1e-2), np.full((len(terms), size), 1e-2), 1e-2
     for _ in range(epochs):
         for i in random.permutation(len(held)):

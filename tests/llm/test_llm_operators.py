@@ -292,7 +292,7 @@ def labelled_docs(spark):
 
 def test_the_factorization_machine_learns_a_pair(spark):
     docs, labels = labelled_docs(spark)
-    model = toxicity.fit(docs, labels, labelled.held_out(5, 0), factor_rate=0.05, spread=0.05)
+    model = toxicity.fit(docs, labels, labelled.held_out(5, 0), factor_rate=0.05, factor_spread=0.05)
     rows = toxicity.classify(docs.withColumn("score", F.lit("clash")), model).withColumn("held", labelled.held_out(5, 0)).collect()
     held = [r for r in rows if r["held"] and r["doc_id"] is not None and r["doc_id"] > 6]
     right = sum(r["predicted"] == (r["doc_id"] % 3 == 0) for r in held)
