@@ -179,43 +179,74 @@ def _bitmap(ids: DataFrame, bits: int = 24) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+
+
+def _taken(bits: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    return np.flatnonzero((bits[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1))
+
+
+def _with_ends(pairs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+    for end in ("a", "b"):
+        pairs = pairs.join(rows.select(F.col("node").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in columns)), end)
+    return pairs
+
+
+def within_bounds(own: DataFrame, pairs: DataFrame, share: int = SHARE) -> DataFrame:
+    """The ``pairs`` (a, b) whose product over their prefix columns still lets them reach their bound.
+
+    Up to the lesser of the two prefixes' last keys both rows are known, so their overlap is what they share
+    there and, at most, all that the row with less left has behind it.
+    """
+    shared = own.sparkSession.sparkContext.broadcast(_bitmap(_ends(pairs).select(F.col("node").alias("id"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = _taken(shared.value, batch.column("bit").to_numpy())
+            kept = kept[np.unique(batch.column("node").to_numpy()[kept], return_index=True)[1]]
+            yield batch.select(["node", "n", "prefix"]).take(pa.array(kept))
+
+    bit = F.pmod(F.xxhash64("node"), F.lit(1 << 24))
+    heads = own.filter("n > 0").select("node", "n", "prefix", bit.alias("bit"))
+    heads = settle(heads.mapInArrow(run, "node bigint, n bigint, prefix array<bigint>").dropDuplicates(["node"]))
+    limit = F.least(F.element_at("prefix_a", -1), F.element_at("prefix_b", -1))
+    left = lambda n, prefix: F.col(n) - F.size(F.filter(prefix, lambda key: key <= F.col("limit")))
+    most = F.size(F.array_intersect("prefix_a", "prefix_b")) + F.least(left("n_a", "prefix_a"), left("n_b", "prefix_b"))
+    joined = _with_ends(pairs, heads, "n", "prefix").withColumn("limit", limit)
+    return settle(joined.filter((100 + share) * most >= share * (F.col("n_a") + F.col("n_b"))).select("a", "b"))
+
+
 def overlaps(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) of nodes with ``shared``, the product of their whole incidence rows.
+    """``pairs`` (a, b) of nodes with their sizes m and n and ``shared``, the product of their whole incidence rows.
 
     Only texts that stand for a node of some pair are read again: a bitmap of their ids (of bounded size, some
     others slip through) keeps the rest from being cut and sent.
     """
-    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    ids = nodes.select("node", F.col("rep").alias("id")).join(needed, "node", "left_semi").select("id")
+    ids = nodes.select("node", F.col("rep").alias("id")).join(_ends(pairs), "node", "left_semi").select("id")
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bit = batch.column("bit").to_numpy()
-            kept = np.flatnonzero((shared.value[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1))
-            seen, sets = {}, []
+            kept = _taken(shared.value, batch.column("bit").to_numpy())
+            seen = {}
             for own in text_sets(batch.column("text").take(pa.array(kept))):
-                if len(own) and (node := _node(own)) not in seen:
-                    seen[node] = len(sets)
-                    sets.append(own)
-            found = list(seen)
+                if len(own):
+                    seen.setdefault(_node(own), own)
+            names, sets = list(seen), list(seen.values())
             for at in range(0, len(sets), 500):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found[at : at + 500], pa.int64()), pa.array(sets[at : at + 500], pa.list_(pa.int64()))], names=["node", "row"]
-                )
+                columns = [pa.array(names[at : at + 500], pa.int64()), pa.array(sets[at : at + 500], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "row"])
 
     bit = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(_NULL_ID))), F.lit(1 << 24))
     rows = docs.select("text", bit.alias("bit")).mapInArrow(run, "node bigint, row array<bigint>")
-    rows = settle(rows.join(needed, "node", "left_semi").dropDuplicates(["node"]))
-    first = rows.select(F.col("node").alias("a"), F.col("row").alias("row_a"))
-    other = rows.select(F.col("node").alias("b"), F.col("row").alias("row_b"))
-    joined = pairs.join(first, "a").join(other, "b")
+    joined = _with_ends(pairs, settle(rows.dropDuplicates(["node"])), "row")
     shared_count = F.size(F.array_intersect("row_a", "row_b"))
     return joined.select("a", "b", F.size("row_a").alias("m"), F.size("row_b").alias("n"), shared_count.alias("shared"))
 
 
-def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, share: int) -> DataFrame:
-    counted = overlaps(docs, nodes, pairs)
+def _links(docs: DataFrame, own: DataFrame, nodes: DataFrame, pairs: DataFrame, share: int) -> DataFrame:
+    counted = overlaps(docs, nodes, within_bounds(own, pairs, share))
     return settle(counted.filter(100 * F.col("shared") >= share * (F.col("m") + F.col("n") - F.col("shared"))).select("a", "b"))
 
 
@@ -238,7 +269,7 @@ def link_components(docs: DataFrame, share: int = SHARE, pivot_rounds: int = 6,
     streamed = settle(sorted_.mapInArrow(_columns, "a bigint, b bigint, key bigint, node bigint, n bigint, at bigint, is_pair boolean"))
     rest = streamed.filter("not is_pair").select("key", "node", "n", "at")
     tried = [settle(_pairs(streamed.filter("is_pair")))]
-    links = [_links(docs, nodes, tried[0], share)]
+    links = [_links(docs, own, nodes, tried[0], share)]
     for turn in range(pivot_rounds + 1):
         comps = settle(components(reduce(DataFrame.unionByName, links)))
         rows = rest.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -265,7 +296,7 @@ def link_components(docs: DataFrame, share: int = SHARE, pivot_rounds: int = 6,
         for before in tried:
             new = new.join(before, ["a", "b"], "left_anti")
         tried.append(settle(new))
-        links.append(_links(docs, nodes, tried[-1], share))
+        links.append(_links(docs, own, nodes, tried[-1], share))
         if last:
             comps = settle(components(reduce(DataFrame.unionByName, links)))
             break
