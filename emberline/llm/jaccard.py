@@ -61,20 +61,19 @@ def _node(own: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def frequent(docs: DataFrame, least_local: int = 8, keep: int = 100_000) -> np.ndarray:
-    """Shingles that many texts hold, for the global order only: the ``keep`` most frequent of those that
-    occur ``least_local`` times in one pass. Whatever it holds or misses, results are the same."""
+def frequent(docs: DataFrame, least_local: int = 3, keep: int = 500_000) -> np.ndarray:
+    """Shingles that many texts hold, for the global order only: the ``keep`` most frequent of those that occur
+    ``least_local`` times in one Arrow batch of texts. Whatever it holds or misses, results are the same."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, texts, found in words.word_hashes(batch.column("text"), words.BLANKS):
-                made, _ = words.shingles(found, texts, SIZE)
-                value, times = np.unique(made, return_counts=True)
-                often = times >= least_local
-                yield pa.RecordBatch.from_arrays([pa.array(value[often]), pa.array(times[often].astype(np.int64))], names=["h", "n"])
+            made = [words.shingles(found, texts, SIZE)[0] for _, texts, found in words.word_hashes(batch.column("text"), words.BLANKS)]
+            value, times = np.unique(np.concatenate([np.zeros(0, np.int64), *made]), return_counts=True)
+            often = times >= least_local
+            yield pa.RecordBatch.from_arrays([pa.array(value[often]), pa.array(times[often].astype(np.int64))], names=["h", "n"])
 
     rows = docs.select("text").mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
-    return np.sort(np.array([r["h"] for r in rows.orderBy(F.desc("n"), "h").limit(keep).collect()], dtype=np.int64))
+    return np.sort(rows.orderBy(F.desc("n"), "h").limit(keep).select("h").toArrow()["h"].to_numpy())
 
 
 def prefixes(docs: DataFrame, hot: np.ndarray) -> DataFrame:
