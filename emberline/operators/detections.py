@@ -127,7 +127,7 @@ def dedup_cross_sensor(
     celled = df.withColumn("_cell", cell_id(F.col("lon"), F.col("lat"), per_degree))
     coarse = celled.where(F.col("source").contains(drop))
     seen = celled.where(F.col("source").contains(keep)).select(*keys).distinct()
-    others = df.where(~F.col("source").contains(drop))
+    others = df.where(~F.coalesce(F.col("source").contains(drop), F.lit(False)))
     return others.unionByName(anti_join(coarse, seen, keys, **skew).drop("_cell"))
 
 

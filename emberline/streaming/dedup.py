@@ -58,4 +58,4 @@ def dedup_stream(
         .where("_fine_cell is null")
         .select(*detections.columns)
     )
-    return detections.where(~coarse).unionByName(unmatched)
+    return detections.where(~F.coalesce(coarse, F.lit(False))).unionByName(unmatched)

@@ -156,3 +156,9 @@ def test_decimation(spark):
     step = {"extreme": 1, "high": 1, "moderate": 3}
     expected = {i for p, (i, s) in enumerate(rows) if p % step.get(s, 8) == 0}
     assert {r["id"] for r in decimate(df, "id", buckets=5).collect()} == expected
+
+
+def test_dedup_keeps_rows_without_a_source(spark):
+    rows = [(1.0, 1.0, "2024-01-01", None), (1.0, 1.0, "2024-01-01", "VIIRS_SNPP_NRT")]
+    frame = spark.createDataFrame(rows, "lat double, lon double, acq_date string, source string")
+    assert det.dedup_cross_sensor(frame).where("source is null").count() == 1
