@@ -128,7 +128,7 @@ def dedup_cross_sensor(
     coarse = celled.where(F.col("source").contains(drop))
     seen = celled.where(F.col("source").contains(keep)).select(*keys).distinct()
     others = df.where(~F.coalesce(F.col("source").contains(drop), F.lit(False)))
-    return others.unionByName(anti_join(coarse, seen, keys, **skew).drop("_cell"))
+    return others.unionByName(anti_join(coarse, seen, keys, **skew).select(*df.columns))
 
 
 def count_by(df: DataFrame, column: str) -> DataFrame:

@@ -35,19 +35,23 @@ def normalize_usa(features: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
 def normalize_mexico(features: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
     """Rows with ``geometry`` and the ``properties`` map of the Mexico feed to the perimeter layer.
 
-    The feed spells its keys in several ways; the first non-empty spelling counts. An area that is no
-    number is 0.
+    The feed spells its keys in several ways; the first non-empty spelling counts, for the area the first
+    that is not 0 either. An area that is no number is 0.
     """
 
     def first_of(*names: str) -> Column:
         return F.expr(f"coalesce({', '.join(f'nullif(properties[{literal(name)}], {empty})' for name in names)})")
 
+    def first_area(*names: str) -> Column:
+        values = [F.col("properties")[name] for name in names]
+        return F.coalesce(*[F.when(F.coalesce(number_or_null(v), F.lit(1.0)) != 0, F.nullif(v, F.lit(""))) for v in values])
+
     empty = literal("")
     named = features.select(
         *keep,
         "geometry",
         F.coalesce(first_of("NOMBRE", "nombre", "INCENDIO"), F.lit("Incendio Activo")).alias("name"),
-        F.coalesce(number_or_null(first_of("SUPERFICIE", "superficie", "HA")), F.lit(0.0)).alias("_ha"),
+        F.coalesce(number_or_null(first_area("SUPERFICIE", "superficie", "HA")), F.lit(0.0)).alias("_ha"),
         F.coalesce(first_of("FECHA", "fecha"), F.lit("")).alias("date_updated"),
         F.coalesce(first_of("ESTADO", "estado"), F.lit("")).alias("state"),
         F.coalesce(first_of("MUNICIPIO", "municipio"), F.lit("")).alias("municipality"),

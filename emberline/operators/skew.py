@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.session import estimated_bytes
-
-# Below this input size a single hot key is a small task anyway, so counting keys does not pay.
-GUARD_FROM_BYTES = 1 << 30
+# Keys of at least so many rows are decided apart from the others.
 HOT_ROWS = 500_000
 # The broadcast list never holds more keys than this, whatever the data. Keys beyond it are joined by
 # shuffle like any other: each of them holds less than 1/MAX_HOT_KEYS of the rows.
@@ -19,22 +16,17 @@ def anti_join(
     probe: DataFrame,
     seen: DataFrame,
     keys: list[str],
-    guard: bool | None = None,
     hot_rows: int = HOT_ROWS,
     max_hot_keys: int = MAX_HOT_KEYS,
 ) -> DataFrame:
     """Rows of ``probe`` whose ``keys`` are not in ``seen`` (whose rows are distinct).
 
-    With the guard on, the keys with at least ``hot_rows`` rows are looked up in ``seen`` once per key.
+    The keys with at least ``hot_rows`` rows are looked up in ``seen`` once per key.
     Their rows are then decided by a broadcast of that short list: covered ones go, the others get a
     spread column that matches nothing, so that they travel evenly instead of to one task. Rows with a
-    null key match nothing either and spread the same way.
+    null key match nothing either and spread the same way. The plan is the same at every size. (Adaptive
+    skew handling would not do: it splits two plain shuffles, and the reduced side is an aggregate.)
     """
-    if guard is None:
-        guard = estimated_bytes(probe) >= GUARD_FROM_BYTES
-    if not guard:
-        return probe.join(seen, keys, "left_anti")
-
     heavy = (
         probe.groupBy(*keys)
         .agg(F.count("*").alias("_rows"))

@@ -13,8 +13,6 @@ from emberline.functions.fire_weather import fwi_class, fwi_color, fwi_label, fw
 from emberline.functions.semantics import cell_id, equal_lookup, literal
 from emberline.schemas import FORECAST
 
-# A grid of at most this many cells is small enough to send to every task (16 bytes a cell).
-BROADCAST_CELLS = 200_000
 # Forecast day (from 0) that decides the trend.
 TREND_DAY = 3
 
@@ -40,26 +38,24 @@ def grid_points(
     )
 
 
-def join_grid_weather(grid: DataFrame, weather: DataFrame, id_column: str, n_cells: int | None = None) -> DataFrame:
+def join_grid_weather(grid: DataFrame, weather: DataFrame, id_column: str) -> DataFrame:
     """Every grid cell with its newest weather record (highest ``id_column``) and the number of records.
 
     Cells without weather stay, with ``n_records`` 0 and null readings. Cells are matched on whole
-    tenths of a degree. Weather is reduced to one row per cell before the join, so a cell that holds a
-    large share of the records costs no more than any other; with a grid of known, small size the
-    records outside it never leave their task.
+    tenths of a degree. Weather is reduced to one row per cell before its shuffle and the join, so a cell that
+    holds a large share of the records costs no more than any other. ``id_column`` is unique; each reading is
+    picked by it on its own, so that fixed-width readings are aggregated by hash.
     """
     key = cell_id(F.col("lon"), F.col("lat"), 10)
     keyed_grid = grid.withColumn("_cell", key)
     records = weather.withColumn("_cell", key)
-    if n_cells is not None and n_cells <= BROADCAST_CELLS:
-        records = records.join(F.broadcast(keyed_grid.select("_cell")), "_cell", "left_semi")
     rest = [c for c in weather.columns if c not in ("lat", "lon", id_column)]
     newest = records.groupBy("_cell").agg(
-        F.max(F.struct(id_column, *rest)).alias("_newest"), F.count("*").alias("n_records")
+        F.max(id_column).alias(id_column), *[F.max_by(c, id_column).alias(c) for c in rest], F.count("*").alias("n_records")
     )
     return (
         keyed_grid.join(newest, "_cell", "left")
-        .select(*grid.columns, F.coalesce("n_records", F.lit(0)).alias("n_records"), "_newest.*")
+        .select(*grid.columns, F.coalesce("n_records", F.lit(0)).alias("n_records"), id_column, *rest)
     )
 
 

@@ -153,15 +153,13 @@ def weather_layer(spark: SparkSession, sf: str) -> DataFrame:
 
 def grid_points(spark: SparkSession, sf: str) -> DataFrame:
     """Grid cells with the number of weather records on each; cells with none are the misses."""
-    n_cells = wx.grid_size(tables.GRID_LAT, tables.GRID_STEP) * wx.grid_size(tables.GRID_LON, tables.GRID_STEP)
-    joined = wx.join_grid_weather(wx.grid_points(spark), _readings(spark, sf).drop("days"), "point_id", n_cells)
+    joined = wx.join_grid_weather(wx.grid_points(spark), _readings(spark, sf).drop("days"), "point_id")
     return joined.select("cell_no", "lat", "lon", "n_records", (F.col("n_records") == 0).alias("missing"))
 
 
 def grid_weather_join(spark: SparkSession, sf: str) -> DataFrame:
-    n_cells = wx.grid_size(tables.GRID_LAT, 0.1) * wx.grid_size(tables.GRID_LON, 0.1)
     fine = wx.grid_points(spark, step=0.1)
-    joined = wx.join_grid_weather(fine, _readings(spark, sf).drop("days"), "point_id", n_cells)
+    joined = wx.join_grid_weather(fine, _readings(spark, sf).drop("days"), "point_id")
     return joined.where("n_records > 0").select(
         "cell_no", "lat", "lon", "n_records", "point_id", "temp_c", "rh_pct", "wind_kmh", "rain_mm"
     )

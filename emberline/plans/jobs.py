@@ -19,6 +19,7 @@ from emberline.sinks.geojson import write_empty_layer, write_layer, write_table
 from emberline.sources import detections as detection_files
 from emberline.sources import documents
 from emberline.sources.layers import read_layer
+from emberline.sources.scan import problem
 
 
 def _iso(as_of: dt.datetime) -> str:
@@ -55,35 +56,38 @@ def run_weather(spark: SparkSession, landed: str, weather_out: str, fwi_out: str
 
 
 def run_perimeters(
-    spark: SparkSession, usa: str, mexico: str, out: str, as_of: dt.datetime, page: int | None = None
+    spark: SparkSession, usa: str, mexico: str, out: str, as_of: dt.datetime, page: int | None = None, lines: bool = False
 ) -> dict[str, str]:
-    """Perimeters of both agencies to one layer; returns errors per agency.
+    """Perimeters of both agencies to one layer; returns what was wrong per agency, rejected documents included.
+
+    ``lines`` reads features landed one per line, which splits at any volume.
 
     ``page`` keeps the largest (USA) or first (Mexico) so many of each agency; by default all are kept.
     """
-    scans = {"USA": documents.read_usa_perimeters(spark, usa), "Mexico": documents.read_mexico_perimeters(spark, mexico)}
+    scans = {"USA": documents.read_usa_perimeters(spark, usa, lines), "Mexico": documents.read_mexico_perimeters(spark, mexico, lines)}
     north, south = per.normalize_usa(scans["USA"].rows), per.normalize_mexico(scans["Mexico"].rows)
     if page is not None:
         north, south = per.top_perimeters(north, "name", page), per.first_perimeters(south, "name", page)
     layer = per.unify(north, south)
     write_layer(layer, "perimeters", lambda table: summaries.perimeter_metadata(table, _iso(as_of)), out)
-    return {name: scan.error for name, scan in scans.items() if scan.error}
+    return {name: found for name, scan in scans.items() if (found := problem(scan))}
 
 
 def run_infrastructure(
-    spark: SparkSession, landed: str, out: str, as_of: dt.datetime, bbox: str = tables.INFRA_BBOX
+    spark: SparkSession, landed: str, out: str, as_of: dt.datetime, bbox: str = tables.INFRA_BBOX, lines: bool = False
 ) -> str | None:
-    """Map elements inside ``bbox`` to the infrastructure layer; returns the error if nothing was read."""
-    scan = documents.read_elements(spark, landed)
-    if scan.error:
-        write_empty_layer(spark, "infrastructure", scan.error, _iso(as_of), out)
-        return scan.error
+    """Map elements inside ``bbox`` to the infrastructure layer; returns what was wrong, rejected documents included."""
+    scan = documents.read_elements(spark, landed, lines)
+    found = problem(scan)
+    if found and (scan.error or scan.rows.isEmpty()):
+        write_empty_layer(spark, "infrastructure", found, _iso(as_of), out)
+        return found
     chosen = infra.normalize(infra.has_any_tag(scan.rows))
     layer = within_bbox(chosen, **infra.parse_bbox(bbox))
     write_layer(
         layer, "infrastructure", lambda table: summaries.infrastructure_metadata(table, _iso(as_of), bbox), out
     )
-    return None
+    return found
 
 
 def dashboard(spark: SparkSession, layers: dict[str, str], attempts: DataFrame, as_of: dt.datetime) -> dict[str, DataFrame]:

@@ -22,11 +22,6 @@ def build_session(app_name: str = "emberline", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's own size estimate of ``df`` (the figure behind automatic broadcasts); reads no data."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
 def use_all_cores(scan: DataFrame) -> DataFrame:
     """Deal the rows of a scan out evenly when it has too few splits to keep the cores busy.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,31 +17,37 @@ _ABSENT = {"latitude": "0", "longitude": "0", "frp": "0", "confidence": "n", "ac
 RAW_SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in ("source_name", *_ABSENT)])
 
 
-def _header(spark: SparkSession, paths: list[str]) -> list[str] | None:
-    """Column names of the first file that has a header; stops reading at the first hit."""
-    row = spark.read.text(paths).where(F.col("value").contains("latitude")).limit(1).first()
-    return None if row is None else [name.strip().strip('"').lstrip("\ufeff") for name in row["value"].split(",")]
+def _headers(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The different header lines of the files."""
+    rows = spark.read.text(paths).where(F.col("value").contains("latitude")).distinct().collect()
+    return sorted(row["value"] for row in rows)
+
+
+def _names(header: str) -> list[str]:
+    return [name.strip().strip('"').lstrip("\ufeff") for name in header.split(",")]
 
 
 def _problem(spark: SparkSession, paths: list[str]) -> str:
     row = spark.read.text(paths).where(F.trim("value") != "").limit(1).first()
-    return "no data" if row is None else row["value"][:100]
+    return "no data" if row is None else row["value"]
 
 
 def read_detections(spark: SparkSession, paths: str | list[str], source_name: str) -> Scan:
     """Detections of one feed, all values as text.
 
-    Columns are found by the header's names, so their order and extra columns do not matter; the files
-    given together share one header. Blank files and error messages in place of data give no rows.
+    Columns are found by the names in each file's own header, so their order and extra columns do not matter.
+    Blank files and error messages in place of data give no rows.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
 
-    def read() -> Scan:
-        names = _header(spark, paths)
-        if names is None:
-            return Scan(spark.createDataFrame([], RAW_SCHEMA), f"{source_name}: {_problem(spark, paths)}")
+    def rows_under(header: str, only: bool) -> DataFrame:
+        names = _names(header)
         schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
         rows = spark.read.schema(schema).option("header", True).csv(paths)
+        if not only:
+            file = F.col("_metadata.file_path").alias("_file")
+            files = spark.read.text(paths).where(F.col("value") == header).select(file).distinct()
+            rows = rows.select("*", file).join(files, "_file", "left_semi")
         # An empty field reads as null. Only the power keeps that: for it, empty means unknown.
         columns = [
             F.lit(default).alias(name)
@@ -47,7 +55,14 @@ def read_detections(spark: SparkSession, paths: str | list[str], source_name: st
             else (F.col(name) if name in ("frp", "latitude", "longitude") else F.coalesce(name, F.lit("")).alias(name))
             for name, default in _ABSENT.items()
         ]
-        return Scan(rows.select(F.lit(source_name).alias("source_name"), *columns))
+        return rows.select(F.lit(source_name).alias("source_name"), *columns)
+
+    def read() -> Scan:
+        headers = _headers(spark, paths)
+        if not headers:
+            return Scan(spark.createDataFrame([], RAW_SCHEMA), f"{source_name}: {_problem(spark, paths)}")
+        parts = [rows_under(header, len(headers) == 1) for header in headers]
+        return Scan(reduce(DataFrame.unionByName, parts))
 
     return isolated(spark, RAW_SCHEMA, read)
 

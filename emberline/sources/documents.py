@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberline.schemas import MEXICO_FEATURE, OSM_ELEMENT, USA_FEATURE, WEATHER_RESPONSE, collection_schema
-from emberline.sources.scan import Scan, isolated
+from emberline.sources.scan import Scan, isolated, nothing_parsed
 
 Paths = str | list[str]
 
@@ -39,8 +39,15 @@ def _exploded(spark: SparkSession, paths: Paths, item: T.StructType, items: str)
 
 
 def _lines(spark: SparkSession, paths: Paths, item: T.StructType) -> Scan:
-    """The same members landed one per line: splittable, for volume."""
-    return isolated(spark, item, lambda: Scan(spark.read.schema(item).json(paths)))
+    """The same members landed one per line: splittable, for volume. Lines that do not parse are rejects."""
+
+    def read() -> Scan:
+        rows = spark.read.schema(T.StructType([*item.fields, T.StructField("_corrupt_record", T.StringType())])).json(paths)
+        lost = nothing_parsed(item)
+        broken = rows.where(lost).select("_corrupt_record")
+        return Scan(rows.where(~lost).drop("_corrupt_record"), rejects=broken)
+
+    return isolated(spark, item, read)
 
 
 def _read(spark: SparkSession, paths: Paths, item: T.StructType, items: str, lines: bool) -> Scan:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberline.schemas import LAYER_PROPERTIES, POLYGON_LAYERS, STRING, collection_schema, feature_schema, layer_schema, struct
-from emberline.sources.scan import Scan, isolated
+from emberline.sources.scan import Scan, isolated, nothing_parsed
 
 
 def _flat(features: DataFrame, layer: str) -> DataFrame:
@@ -33,10 +33,16 @@ def read_collection(spark: SparkSession, layer: str, paths: str | list[str]) ->
 
 
 def read_features(spark: SparkSession, layer: str, paths: str | list[str]) -> Scan:
-    """A layer from GeoJSON features, one per line."""
-    return isolated(
-        spark, layer_schema(layer), lambda: Scan(_flat(spark.read.schema(feature_schema(layer)).json(paths), layer))
-    )
+    """A layer from GeoJSON features, one per line; lines that do not parse are rejects."""
+
+    def read() -> Scan:
+        schema = T.StructType([*feature_schema(layer).fields, T.StructField("_corrupt_record", STRING)])
+        rows = spark.read.schema(schema).json(paths)
+        lost = nothing_parsed(feature_schema(layer))
+        broken = rows.where(lost).select("_corrupt_record")
+        return Scan(_flat(rows.where(~lost), layer), rejects=broken)
+
+    return isolated(spark, layer_schema(layer), read)
 
 
 def read_layer(spark: SparkSession, layer: str, path: str) -> Scan:

@@ -6,7 +6,8 @@ from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -19,7 +20,7 @@ class Scan(NamedTuple):
 
 
 def first_line(error: BaseException) -> str:
-    return (str(error).strip() or type(error).__name__).splitlines()[0][:300]
+    return (str(error).strip() or type(error).__name__).splitlines()[0]
 
 
 def isolated(spark: SparkSession, schema: T.StructType, read: Callable[[], Scan]) -> Scan:
@@ -28,3 +29,20 @@ def isolated(spark: SparkSession, schema: T.StructType, read: Callable[[], Scan]
         return read()
     except (PySparkException, OSError) as error:
         return Scan(spark.createDataFrame([], schema), first_line(error))
+
+
+def nothing_parsed(item: T.StructType) -> Column:
+    """Lines of which not one field of ``item`` could be read."""
+    lost = F.col("_corrupt_record").isNotNull()
+    for name in item.fieldNames():
+        if name != "_corrupt_record":
+            lost = lost & F.col(name).isNull()
+    return lost
+
+
+def problem(scan: Scan) -> str | None:
+    """What is wrong with a feed: why it has no rows, or how many of its records were rejected."""
+    if scan.error or scan.rejects is None:
+        return scan.error
+    rejected = scan.rejects.count()
+    return f"{rejected} records do not parse" if rejected else None

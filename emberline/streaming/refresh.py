@@ -1,10 +1,11 @@
 """Periodic refresh of the layers from landing folders, keeping the last good snapshot of each.
 
-Files land under ``<landing>/<layer>/pull=<id>/``; a pull is one complete fetch of a layer, moved there
-as a whole. Ids sort by time. Feeds of several sources have a folder each inside the pull
-(``source=<feed>`` for detections, ``country=<USA|Mexico>`` for perimeters). Each trigger
-looks at the newly landed files, builds the layer from the newest pull that works, stores it as a new
-snapshot and logs the attempt. A pull that fails leaves the snapshot before it in force.
+Files land under ``<landing>/<layer>/pull=<id>/``; a pull is one complete fetch of a layer. Ids sort by time.
+When all its files are there, a file ``<landing>/<layer>/complete/<id>`` (of any content but none) says so. Feeds of
+several sources have a folder each inside the pull (``source=<feed>`` for detections, ``country=<USA|Mexico>`` for
+perimeters). The stream carries these marks only: each trigger builds the layer from the whole folder of the newest
+marked pull that works, stores it as a new snapshot and logs the attempt. A source that fails is logged as a problem
+and leaves the others standing; a pull without a usable record fails and leaves the snapshot before it in force.
 
 Every step is keyed by the batch number and overwrites its own folder, so a batch that is run again
 after a failure gives the same state.
@@ -14,7 +15,6 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
-import re
 from collections.abc import Callable, Iterable
 
 from pyspark.errors import PySparkException
@@ -29,17 +29,18 @@ from emberline.operators import infrastructure as infra
 from emberline.operators import perimeters as per
 from emberline.operators import status
 from emberline.operators import weather as wx
+from emberline.operators.space import within_bbox
 from emberline.schemas import ATTEMPTS, BIGINT, LAYER_NAMES, STRING, TIMESTAMP, struct
 from emberline.sources import detections as detection_files
 from emberline.sources import documents
-from emberline.sources.scan import Scan, first_line
+from emberline.sources.scan import Scan, first_line, problem
 
-FILES_PER_TRIGGER = 10_000
 REFRESH = "5 minutes"
 
+PROBLEMS = struct(attempted_at=TIMESTAMP, problem=STRING)
 _LISTING = struct(path=STRING, modificationTime=TIMESTAMP, length=BIGINT, content=BinaryType())
 
-Build = Callable[[SparkSession, list[str]], DataFrame]
+Build = Callable[[SparkSession, str, list[str]], DataFrame]
 Clock = Callable[[], dt.datetime]
 
 
@@ -47,69 +48,57 @@ class FeedError(Exception):
     """A pull that holds no usable data."""
 
 
-def _rows(scan: Scan) -> DataFrame:
-    if scan.error:
-        raise FeedError(scan.error)
-    if scan.rejects is not None and not scan.rejects.isEmpty():
-        raise FeedError("document does not parse")
-    return scan.rows
-
-
-def _hotspots(spark: SparkSession, paths: list[str]) -> DataFrame:
-    frames, problems = [], []
-    for name, _, _ in tables.SENSORS:
-        own = [p for p in paths if f"source={name}/" in p]
-        if not own:
-            continue
-        scan = detection_files.read_detections(spark, own, name)
-        if scan.error:
-            problems.append(scan.error)
-        else:
-            frames.append(det.normalize(scan.rows))
-    if not frames:
-        raise FeedError("; ".join(problems) or "no registered feed in this pull")
-    return det.dedup_cross_sensor(det.union_sensors(*frames))
-
-
-def _readings(spark: SparkSession, paths: list[str]) -> DataFrame:
-    good, _ = wx.split_missing(_weather_rows(spark, paths))
-    return wx.flatten_responses(good)
+def _usable(scan: Scan, source: str, notes: list[str]) -> DataFrame | None:
+    """Rows of a feed; its problem goes to ``notes``. None for a feed that is not in the pull or gave nothing but problems."""
+    if scan.error and scan.error.startswith("[PATH_NOT_FOUND]"):
+        return None
+    found = problem(scan)
+    if found:
+        notes.append(found if found.startswith(source) else f"{source}: {found}")
+    return None if scan.error or (found and scan.rows.isEmpty()) else scan.rows
+
+
+def _some(parts: list[DataFrame | None], notes: list[str]) -> list[DataFrame]:
+    found = [part for part in parts if part is not None]
+    if not found:
+        raise FeedError("; ".join(notes) or "no registered feed in this pull")
+    return found
+
 
+def _hotspots(spark: SparkSession, pull: str, notes: list[str]) -> DataFrame:
+    parts = [_usable(detection_files.read_detections(spark, f"{pull}/source={name}", name), name, notes) for name, _, _ in tables.SENSORS]
+    return det.dedup_cross_sensor(det.union_sensors(*[det.normalize(rows) for rows in _some(parts, notes)]))
 
-def _weather_rows(spark: SparkSession, paths: list[str]) -> DataFrame:
-    scan = documents.read_weather(spark, paths)
-    if scan.error:
-        raise FeedError(scan.error)
-    return scan.rows
+
+def _readings(spark: SparkSession, pull: str, notes: list[str]) -> DataFrame:
+    rows = _some([_usable(documents.read_weather(spark, pull), "weather", notes)], notes)[0]
+    good, _ = wx.split_missing(rows)
+    if good.isEmpty():
+        raise FeedError("; ".join(notes) or "weather: no current readings")
+    return wx.flatten_responses(good)
 
 
-def _perimeters(spark: SparkSession, paths: list[str]) -> DataFrame:
-    usa = [p for p in paths if "country=USA/" in p]
-    mexico = [p for p in paths if "country=Mexico/" in p]
-    parts = []
-    if usa:
-        parts.append(per.normalize_usa(_rows(documents.read_usa_perimeters(spark, usa))))
-    if mexico:
-        parts.append(per.normalize_mexico(_rows(documents.read_mexico_perimeters(spark, mexico))))
-    if not parts:
-        raise FeedError("no registered feed in this pull")
+def _perimeters(spark: SparkSession, pull: str, notes: list[str]) -> DataFrame:
+    usa = _usable(documents.read_usa_perimeters(spark, f"{pull}/country=USA"), "USA", notes)
+    mexico = _usable(documents.read_mexico_perimeters(spark, f"{pull}/country=Mexico"), "Mexico", notes)
+    parts = _some([None if usa is None else per.normalize_usa(usa), None if mexico is None else per.normalize_mexico(mexico)], notes)
     return parts[0] if len(parts) == 1 else per.unify(*parts)
 
 
+def _infrastructure(spark: SparkSession, pull: str, notes: list[str]) -> DataFrame:
+    rows = _some([_usable(documents.read_elements(spark, pull), "infrastructure", notes)], notes)[0]
+    return within_bbox(infra.normalize(infra.has_any_tag(rows)), **infra.parse_bbox(tables.INFRA_BBOX))
+
+
 BUILDERS: dict[str, Build] = {
     "hotspots": _hotspots,
-    "weather": lambda spark, paths: wx.weather_layer(_readings(spark, paths)),
-    "fwi": lambda spark, paths: wx.fwi_layer(_readings(spark, paths)),
+    "weather": lambda spark, pull, notes: wx.weather_layer(_readings(spark, pull, notes)),
+    "fwi": lambda spark, pull, notes: wx.fwi_layer(_readings(spark, pull, notes)),
     "perimeters": _perimeters,
-    "infrastructure": lambda spark, paths: infra.normalize(infra.has_any_tag(_rows(documents.read_elements(spark, paths)))),
+    "infrastructure": _infrastructure,
 }
 
 
-def _pull_of(path: str) -> str:
-    found = re.search(r"/pull=([^/]+)/", path)
-    return found.group(1) if found else ""
-
-
 def _utc_now() -> dt.datetime:
     return dt.datetime.now(dt.timezone.utc)
 
@@ -125,24 +114,31 @@ def log_attempt(
     )
 
 
+def log_problems(spark: SparkSession, out: str, layer: str, number: int, at: dt.datetime, notes: list[str]) -> None:
+    """Record the problems of single sources of a pull in a folder of their own, which a repeated batch replaces."""
+    rows = spark.createDataFrame([(at, note) for note in notes], PROBLEMS)
+    rows.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{out}/problems/layer={layer}/batch={number}")
+
+
 def refresh_batch(
-    spark: SparkSession, layer: str, out: str, batch_id: int, files: Iterable[str], clock: Clock = _utc_now
+    spark: SparkSession, layer: str, out: str, batch_id: int, pulls: Iterable[str], clock: Clock = _utc_now
 ) -> str | None:
-    """Build ``layer`` from the newest working pull among ``files``; returns the error of the newest pull, if any."""
-    pulls: dict[str, list[str]] = {}
-    for path in files:
-        pulls.setdefault(_pull_of(path), []).append(path)
+    """Build ``layer`` from the newest working of the folders ``pulls``; returns the error of the newest one, if any."""
     path = f"{out}/snapshots/{layer}/batch={batch_id}"
-    newest_error, stored = None, False
-    for place, name in enumerate(sorted(pulls, reverse=True)):
+    newest_error, stored, problems = None, False, []
+    for place, pull in enumerate(sorted(pulls, reverse=True)):
+        notes: list[str] = []
         try:
-            BUILDERS[layer](spark, pulls[name]).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
+            BUILDERS[layer](spark, pull, notes).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
             stored = True
-            break
         except (PySparkException, FeedError) as error:
             if place == 0:
                 newest_error = first_line(error)
+        problems += notes
+        if stored:
+            break
     now = clock()
+    log_problems(spark, out, layer, batch_id, now, problems)
     if stored:
         log_attempt(spark, out, layer, 2 * batch_id, now, None, path)
     if newest_error is not None:
@@ -172,24 +168,22 @@ def start_refresh(
 ) -> StreamingQuery:
     """Start the refresh of one layer. ``available_now`` works off what has landed and stops.
 
-    The stream only lists files (their content is not read here, and files of no length are not seen); building reads them as a batch, spread
-    over the cluster. The list of one trigger is bounded by ``FILES_PER_TRIGGER``.
+    The stream only lists the marks of complete pulls, one small file each; building reads the pulls themselves as
+    a batch, spread over the cluster.
     """
     if layer not in BUILDERS:
         raise ValueError(f"unknown layer {layer!r}")
     landed = (
         spark.readStream.format("binaryFile")
         .schema(_LISTING)
-        .option("recursiveFileLookup", True)
-        .option("maxFilesPerTrigger", FILES_PER_TRIGGER)
-        .load(f"{landing}/{layer}")
-        .select("path")
+        .load(f"{landing}/{layer}/complete")
+        .select(F.element_at(F.split("path", "/"), -1).alias("pull"))
     )
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        files = [row["path"] for row in batch.collect()]
-        if files:
-            refresh_batch(batch.sparkSession, layer, out, batch_id, files, clock)
+        pulls = [f"{landing}/{layer}/pull={row['pull']}" for row in batch.collect()]
+        if pulls:
+            refresh_batch(batch.sparkSession, layer, out, batch_id, pulls, clock)
 
     writer = landed.writeStream.foreachBatch(handle).option(
         "checkpointLocation", f"{checkpoint_root(spark, out)}/{layer}"
@@ -221,6 +215,11 @@ def read_attempts(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.schema(ATTEMPTS).option("basePath", f"{out}/attempts").parquet(f"{out}/attempts")
 
 
+def read_problems(spark: SparkSession, out: str) -> DataFrame:
+    """Problems of single sources, by layer and batch."""
+    return spark.read.schema(struct(attempted_at=TIMESTAMP, problem=STRING, layer=STRING, batch=BIGINT)).option("basePath", f"{out}/problems").parquet(f"{out}/problems")
+
+
 def read_status(spark: SparkSession, out: str, as_of: dt.datetime | None = None) -> DataFrame:
     """Status of every layer from the attempts log, with the path of its last good snapshot."""
     return status.last_good(read_attempts(spark, out), as_of)

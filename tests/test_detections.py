@@ -61,7 +61,7 @@ def _brute(rows, scope):
 
 
 @pytest.mark.parametrize("scope", ["batch", "day"])
-@pytest.mark.parametrize("skew", [{}, {"guard": True, "hot_rows": 5}, {"guard": True, "hot_rows": 5, "max_hot_keys": 1}])
+@pytest.mark.parametrize("skew", [{}, {"hot_rows": 5}, {"hot_rows": 5, "max_hot_keys": 1}])
 def test_dedup_equals_brute_force(spark, scope, skew):
     rows = list(_random_hits(3000))
     df = spark.createDataFrame(rows, HITS).repartition(5)
@@ -77,11 +77,10 @@ def test_dedup_keeps_fine_rows_and_is_idempotent(spark):
     assert det.dedup_cross_sensor(once).count() == once.count()
 
 
-@pytest.mark.parametrize("guard", [False, True])
-def test_anti_join_keeps_null_keys_and_uncovered_hot_keys(spark, guard):
+def test_anti_join_keeps_null_keys_and_uncovered_hot_keys(spark):
     probe = spark.createDataFrame([(None,)] * 50 + [(1,)] * 50 + [(2,)] * 50 + [(3,)] * 2, "k long")
     seen = spark.createDataFrame([(2,), (3,), (9,)], "k long")
-    left = anti_join(probe, seen, ["k"], guard=guard, hot_rows=10).groupBy("k").count().collect()
+    left = anti_join(probe, seen, ["k"], hot_rows=10).groupBy("k").count().collect()
     assert {r["k"]: r["count"] for r in left} == {None: 50, 1: 50}
 
 
@@ -92,7 +91,7 @@ def test_uncovered_hot_key_is_spread_over_tasks(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        left = anti_join(probe, seen, ["k"], guard=True, hot_rows=1000)
+        left = anti_join(probe, seen, ["k"], hot_rows=1000)
         sizes = [r["count"] for r in left.groupBy(F.spark_partition_id()).count().collect()]
     finally:
         for name, value in before.items():
@@ -100,12 +99,25 @@ def test_uncovered_hot_key_is_spread_over_tasks(spark):
     assert sum(sizes) == 4050 and len(sizes) == 4 and max(sizes) < 1500
 
 
-def test_guarded_plan_has_no_cross_join(spark):
+def test_dedup_plan_has_no_cross_join(spark):
     df = spark.createDataFrame(list(_random_hits(100)), HITS)
-    plan = det.dedup_cross_sensor(df, guard=True)._jdf.queryExecution().toString()
+    plan = det.dedup_cross_sensor(df)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+@pytest.mark.parametrize("buckets", [1, 7, None])
+def test_positions_keep_null_nan_and_infinite_keys_and_split_ties(spark, buckets):
+    special = [None, None, float("nan"), float("inf"), float("-inf"), -0.0, 0.0]
+    keys = special + [float(i) for i in range(50)] + [5.0] * 300 + [None] * 100
+    rows = [(i, key) for i, key in enumerate(keys)]
+    rank = lambda k: (0, 0.0) if k is None else (2, 0.0) if k != k else (1, k + 0.0)
+    expected = {i: n for n, (i, _) in enumerate(sorted(rows, key=lambda r: (rank(r[1]), r[0])))}
+    df = spark.createDataFrame(rows, "id int, k double").repartition(4)
+    placed = with_position(df, "k", "id", buckets=buckets)
+    assert {r["id"]: r["position"] for r in placed.collect()} == expected
+    assert with_position(df.limit(0), "k", "id", buckets=buckets).count() == 0
+
+
 def test_lookback(spark):
     now = dt.datetime(2024, 1, 10, 12)
     times = [now, now - dt.timedelta(hours=23), now - dt.timedelta(days=1), now - dt.timedelta(days=2), now + dt.timedelta(hours=1)]

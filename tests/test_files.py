@@ -5,6 +5,7 @@ import json
 
 import pytest
 
+from emberline.operators import perimeters as per
 from emberline.plans import jobs
 from emberline.schemas import ATTEMPTS, LAYER_NAMES, MODIS_COLUMNS, VIIRS_COLUMNS, layer_schema
 from emberline.sinks.geojson import write_empty_layer
@@ -55,6 +56,14 @@ def test_detections_with_other_columns(spark, tmp_path):
         "1", "2", "0930", "0", "n", "D")
 
 
+def test_each_file_has_its_own_header(spark, tmp_path):
+    put(tmp_path / "v" / "a.csv", "latitude,longitude,frp\n1,2,3\n")
+    put(tmp_path / "v" / "b.csv", "longitude,latitude,frp\n20,10,30\n21,11,31\n")
+    put(tmp_path / "v" / "c.csv", "Error: down\nretry\n")
+    rows = read_detections(spark, str(tmp_path / "v"), "VIIRS_SNPP_NRT").rows.collect()
+    assert sorted((r["latitude"], r["longitude"], r["frp"]) for r in rows) == [("1", "2", "3"), ("10", "20", "30"), ("11", "21", "31")]
+
+
 @pytest.mark.parametrize("body, problem", [("", "no data"), ("  \n", "no data"), ("Error: Invalid MAP_KEY", "Error: Invalid MAP_KEY")])
 def test_failing_feed_is_isolated(spark, feeds, body, problem):
     for old in (feeds / "source=MODIS_NRT").iterdir():
@@ -107,6 +116,16 @@ def test_perimeter_documents(spark, documents):
     assert scan.rejects.count() == 1
     put(documents / "lines" / "a.json", "\n".join(json.dumps(f) for f in USA["features"]))
     assert read_usa_perimeters(spark, str(documents / "lines"), lines=True).rows.count() == 3
+    put(documents / "cut" / "a.json", json.dumps(USA["features"][0]) + '\n{"properties": {"poly_GISAcres": 5\n{"properties": {"poly_GISAcres": "x"}}\n')
+    scan = read_usa_perimeters(spark, str(documents / "cut"), lines=True)
+    assert (scan.rows.count(), scan.rejects.count()) == (2, 1)
+
+
+def test_area_of_zero_gives_way_to_the_next_spelling(spark):
+    areas = [({"SUPERFICIE": "0", "HA": "12.5"}, 12.5), ({"SUPERFICIE": "0"}, 0.0), ({"SUPERFICIE": "", "superficie": "3"}, 3.0), ({"SUPERFICIE": "x", "HA": "1"}, 0.0), ({}, 0.0)]
+    df = spark.createDataFrame([(i, None, p) for i, (p, _) in enumerate(areas)], "id int, geometry struct<type string, coordinates string>, properties map<string, string>")
+    got = {r["id"]: r["hectares"] for r in per.normalize_mexico(df, keep=["id"]).collect()}
+    assert got == {i: area for i, (_, area) in enumerate(areas)}
 
 
 def written(spark, path):
@@ -155,7 +174,7 @@ def test_weather_job(spark, documents, tmp_path):
 
 def test_perimeter_job(spark, documents, tmp_path):
     out = tmp_path / "p"
-    assert jobs.run_perimeters(spark, str(documents / "usa"), str(documents / "mexico"), str(out), NOW) == {}
+    assert jobs.run_perimeters(spark, str(documents / "usa"), str(documents / "mexico"), str(out), NOW) == {"USA": "1 records do not parse"}
     metadata, features = written(spark, out)
     assert (metadata["total_fires"], metadata["usa_fires"], metadata["mexico_fires"]) == ("4", "3", "1")
     assert float(metadata["total_hectares"]) == pytest.approx(404.7 + 4.2 + 0.0 + 12.5)

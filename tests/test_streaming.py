@@ -21,6 +21,11 @@ def clock():
     return NOW
 
 
+def done(feed, *pulls):
+    for pull in pulls:
+        put(feed / "complete" / pull, "done")
+
+
 @pytest.fixture
 def out(tmp_path):
     """An output never used before: checkpoints of earlier sessions in the shared folder do not belong to it."""
@@ -32,23 +37,26 @@ def test_refresh_keeps_the_last_good_snapshot(spark, tmp_path, out):
     feed = landing / "hotspots"
     put(feed / "pull=01" / "source=VIIRS_SNPP_NRT" / "a.csv", csv_text(VIIRS_COLUMNS, hit(10, 20, 250)))
     put(landing / "infrastructure" / "pull=01" / "a.json", json.dumps(OSM))
+    done(feed, "01"), done(landing / "infrastructure", "01")
     layers = ["hotspots", "infrastructure"]
     assert refresh.run_available_now(spark, str(landing), out, layers, clock=clock) == {}
     assert refresh.read_snapshot(spark, out, "hotspots").count() == 1
-    assert refresh.read_snapshot(spark, out, "infrastructure").count() == 3
+    assert refresh.read_snapshot(spark, out, "infrastructure").count() == 2
 
     # A failing pull changes the status, not the data.
     put(feed / "pull=02" / "source=VIIRS_SNPP_NRT" / "a.csv", "Error: Invalid key")
     put(landing / "infrastructure" / "pull=02" / "a.json", '{"elements": [')
+    done(feed, "02"), done(landing / "infrastructure", "02")
     refresh.run_available_now(spark, str(landing), out, layers, clock=lambda: NOW + dt.timedelta(minutes=5))
     assert refresh.read_snapshot(spark, out, "hotspots").count() == 1
     rows = {r["layer"]: r for r in refresh.read_status(spark, out, NOW + dt.timedelta(minutes=6)).collect()}
     assert rows["hotspots"]["error"] == "VIIRS_SNPP_NRT: Error: Invalid key" and rows["hotspots"]["freshness"] == "unknown"
-    assert rows["hotspots"]["age"] == "6 min ago" and rows["infrastructure"]["error"] == "document does not parse"
+    assert rows["hotspots"]["age"] == "6 min ago" and rows["infrastructure"]["error"] == "infrastructure: 1 records do not parse"
 
     # Two pulls at once: the newest working one counts.
     put(feed / "pull=03" / "source=VIIRS_SNPP_NRT" / "a.csv", csv_text(VIIRS_COLUMNS, hit(1, 2), hit(3, 4)))
     put(feed / "pull=04" / "source=VIIRS_SNPP_NRT" / "a.csv", " \n")
+    done(feed, "03", "04")
     refresh.run_available_now(spark, str(landing), out, ["hotspots"], clock=lambda: NOW + dt.timedelta(minutes=10))
     assert refresh.read_snapshot(spark, out, "hotspots").count() == 2
     row = refresh.read_status(spark, out).where("layer = 'hotspots'").first()
@@ -56,6 +64,7 @@ def test_refresh_keeps_the_last_good_snapshot(spark, tmp_path, out):
 
     # A later success clears the error; nothing new means no new attempt.
     put(feed / "pull=05" / "source=VIIRS_SNPP_NRT" / "a.csv", csv_text(VIIRS_COLUMNS, hit(5, 6)))
+    done(feed, "05")
     for minutes in (15, 20):
         refresh.run_available_now(spark, str(landing), out, ["hotspots"], clock=lambda m=minutes: NOW + dt.timedelta(minutes=m))
     row = refresh.read_status(spark, out).where("layer = 'hotspots'").first()
@@ -67,6 +76,8 @@ def test_refresh_of_documents(spark, tmp_path, out):
     lines = "\n".join(json.dumps(r) for r in golden.responses())
     for layer in ("weather", "fwi"):
         put(landing / layer / "pull=1" / "a.json", lines)
+    for layer in ("weather", "fwi", "perimeters"):
+        done(landing / layer, "1")
     put(landing / "perimeters" / "pull=1" / "country=Mexico" / "a.geojson", '{"features": [{"properties": {"nombre": "Cerro"}}]}')
     assert refresh.run_available_now(spark, str(landing), out, ["weather", "fwi", "perimeters"], clock=clock) == {}
     fwi = {(r["lat"], r["lon"]): r["fwi"] for r in refresh.read_snapshot(spark, out, "fwi").collect()}
@@ -81,7 +92,7 @@ def test_replayed_batch_gives_the_same_state(spark, tmp_path, out):
     path = tmp_path / "l" / "pull=1" / "source=VIIRS_SNPP_NRT" / "a.csv"
     put(path, csv_text(VIIRS_COLUMNS, hit(10, 20)))
     for _ in range(2):
-        assert refresh.refresh_batch(spark, "hotspots", out, 0, [str(path)], clock) is None
+        assert refresh.refresh_batch(spark, "hotspots", out, 0, [str(tmp_path / "l" / "pull=1")], clock) is None
     assert refresh.read_attempts(spark, out).count() == 1
     assert refresh.read_snapshot(spark, out, "hotspots").count() == 1
 
@@ -89,6 +100,7 @@ def test_replayed_batch_gives_the_same_state(spark, tmp_path, out):
 def test_one_dead_layer_does_not_stop_the_others(spark, tmp_path, out):
     put(tmp_path / "landing" / "hotspots" / "pull=1" / "source=VIIRS_SNPP_NRT" / "a.csv", csv_text(VIIRS_COLUMNS, hit(10, 20)))
     put(tmp_path / "landing" / "weather" / "pull=1" / "a.json", "{}")
+    done(tmp_path / "landing" / "weather", "1"), done(tmp_path / "landing" / "hotspots", "1")
     blocked = Path(out) / "snapshots" / "weather"
     put(blocked, "a file where a folder should be")
     failed = refresh.run_available_now(spark, str(tmp_path / "landing"), out, ["weather", "hotspots"], clock=clock)
@@ -146,12 +158,50 @@ def test_checkpoints_of_two_outputs_differ(spark):
 def test_periodic_refresh_picks_up_new_pulls(spark, tmp_path, out):
     feed = tmp_path / "landing" / "hotspots"
     put(feed / "pull=1" / "source=VIIRS_SNPP_NRT" / "a.csv", csv_text(VIIRS_COLUMNS, hit(10, 20)))
+    done(feed, "1")
     query = refresh.start_refresh(spark, "hotspots", str(tmp_path / "landing"), out, interval="1 second", clock=clock)
     try:
         query.processAllAvailable()
         assert refresh.read_snapshot(spark, out, "hotspots").count() == 1
         put(feed / "pull=2" / "source=VIIRS_SNPP_NRT" / "a.csv", csv_text(VIIRS_COLUMNS, hit(1, 2), hit(3, 4), hit(5, 6)))
+        done(feed, "2")
         query.processAllAvailable()
         assert refresh.read_snapshot(spark, out, "hotspots").count() == 3
     finally:
         query.stop()
+
+
+def test_pull_counts_once_it_is_complete(spark, tmp_path, out):
+    """Files of a pull that come over several triggers are not read before its mark, and then all of them."""
+    feed = tmp_path / "landing" / "hotspots"
+    source = feed / "pull=2" / "source=VIIRS_SNPP_NRT"
+    put(feed / "pull=1" / "source=VIIRS_SNPP_NRT" / "a.csv", csv_text(VIIRS_COLUMNS, hit(10, 20)))
+    done(feed, "1")
+    for i in range(3):
+        put(source / f"{i}.csv", csv_text(VIIRS_COLUMNS, hit(i, 2)))
+        refresh.run_available_now(spark, str(tmp_path / "landing"), out, ["hotspots"], clock=lambda i=i: NOW + dt.timedelta(minutes=i))
+        assert refresh.read_snapshot(spark, out, "hotspots").count() == 1
+    done(feed, "2")
+    refresh.run_available_now(spark, str(tmp_path / "landing"), out, ["hotspots"], clock=lambda: NOW + dt.timedelta(minutes=5))
+    assert refresh.read_snapshot(spark, out, "hotspots").count() == 3
+    put(source / "late.csv", csv_text(VIIRS_COLUMNS, hit(50, 2)))
+    refresh.run_available_now(spark, str(tmp_path / "landing"), out, ["hotspots"], clock=lambda: NOW + dt.timedelta(minutes=9))
+    assert refresh.read_snapshot(spark, out, "hotspots").count() == 3
+
+
+def test_broken_source_leaves_the_other_and_is_logged(spark, tmp_path, out):
+    pull = tmp_path / "pull=1"
+    put(pull / "country=USA" / "a.geojson", '{"features": [{"properties": {"poly_IncidentName": "Big"}}]}')
+    put(pull / "country=Mexico" / "a.geojson", '{"features": [')
+    assert refresh.refresh_batch(spark, "perimeters", out, 0, [str(pull)], clock) is None
+    assert refresh.read_snapshot(spark, out, "perimeters").first()["name"] == "Big"
+    assert [r["problem"] for r in refresh.read_problems(spark, out).collect()] == ["Mexico: 1 records do not parse"]
+
+
+def test_weather_pull_without_a_reading_fails(spark, tmp_path, out):
+    put(tmp_path / "pull=1" / "a.json", "\n".join(json.dumps(r) for r in golden.responses()))
+    put(tmp_path / "pull=2" / "a.json", "<html>down</html>")
+    assert refresh.refresh_batch(spark, "weather", out, 0, [str(tmp_path / "pull=1")], clock) is None
+    error = refresh.refresh_batch(spark, "weather", out, 1, [str(tmp_path / "pull=2")], lambda: NOW + dt.timedelta(minutes=5))
+    assert error == "weather: 1 records do not parse"
+    assert refresh.read_snapshot(spark, out, "weather").count() == 8

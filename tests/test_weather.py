@@ -125,13 +125,12 @@ def test_grid(spark):
     assert fine.agg(F.max("lat"), F.max("lon")).first() == (1.0, 0.5)
 
 
-@pytest.mark.parametrize("n_cells", [None, 8])
-def test_grid_join_takes_the_newest_record(spark, n_cells):
+def test_grid_join_takes_the_newest_record(spark):
     weather = spark.createDataFrame(
         [(1, 14.0, -118.0, 1.0), (7, 14.04, -118.0, 7.0), (3, 14.0, -118.0, 3.0), (4, 50.0, 50.0, 4.0)],
         "id long, lat double, lon double, temp_c double",
     )
-    rows = {r["cell_no"]: r for r in wx.join_grid_weather(wx.grid_points(spark), weather, "id", n_cells).collect()}
+    rows = {r["cell_no"]: r for r in wx.join_grid_weather(wx.grid_points(spark), weather, "id").collect()}
     assert len(rows) == 8
     assert (rows[0]["id"], rows[0]["temp_c"], rows[0]["n_records"]) == (7, 7.0, 3)
     assert rows[1]["id"] is None and rows[1]["n_records"] == 0
