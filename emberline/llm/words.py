@@ -106,7 +106,7 @@ def shingles(words: np.ndarray, texts: np.ndarray, size: int = 5) -> tuple[np.nd
         raise ValueError(f"at most {len(_MUL)} words in a shingle")
     total = np.zeros(len(words), dtype=np.uint64)
     for k in range(size):
-        total[: len(words) - k] += words[k:] * _MUL[k]
+        total[: max(len(words) - k, 0)] += words[k:] * _MUL[k]
     full = np.ones(len(words), dtype=bool)
     for k in range(1, size):
         ends = texts[1:] - k

@@ -147,6 +147,24 @@ def test_jaccard_components_equal_brute_force(spark, monkeypatch):
     assert jaccard.keep_one(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5])
+def test_a_pass_of_a_few_words_in_all_has_its_one_shingle(n):
+    made, stops = words.shingles(np.arange(1, n + 1, dtype=np.uint64), np.array([0, n]))
+    assert len(made) == 1 and stops.tolist() == [0, 1]
+
+
+def test_jaccard_on_tables_and_passes_of_a_few_words(spark):
+    for text, copies in (("two words", 1), ("three short words", 2)):
+        rows = jaccard.link_components(frame(spark, [(i, text) for i in range(copies)]).coalesce(1)).collect()
+        assert [(r["n_shingles"], r["component_id"]) for r in rows] == [(1, 0)] * copies
+    long = " ".join(f"w{i}" for i in range(words.PASS_BYTES // 6))
+    assert len(long) > words.PASS_BYTES
+    docs = [(1, long), (2, "two words"), (3, long), (4, "Two words")]
+    rows = jaccard.link_components(frame(spark, docs).coalesce(1)).collect()
+    n = words.PASS_BYTES // 6 - 4
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows) == [(1, n, 1), (2, 1, 2), (3, n, 1), (4, 1, 2)]
+
+
 def test_frequent_shingles_change_no_component(spark, monkeypatch):
     docs = near_copies(4, 90)
     monkeypatch.setattr(jaccard, "frequent", lambda rows: np.unique(np.concatenate(list(jaccard.text_sets(pa.array([t for _, t in docs]))))))
