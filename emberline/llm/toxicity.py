@@ -4,8 +4,9 @@ The terms of a document are its distinct words (ASCII letters, digits and all be
 the first five bytes of longer ones, hashed to 24 bits. The machine adds a weight per term and, for every pair of
 terms, the product of their factor vectors, so it learns that two terms together mean more than each alone.
 It is trained by numpy gradient descent with per-weight steps (AdaGrad) on a bounded and balanced sample of
-labelled documents (``per_class`` of each class); terms of fewer than ``least`` sampled documents, or whose
-shares in the two classes are less than ``apart_by`` standard errors apart, have no weight.
+labelled documents (``per_class`` of each class); terms of fewer than ``least`` sampled documents have no weight.
+All others have a weight and factors, also those equally common in both classes, which may tell only together;
+the closer the shares are below ``apart_by`` standard errors, the smaller are a term's steps, so chance is not learned.
 
 Defined cases: null and empty texts have no terms and so the bias's score; without labels of both classes the
 score is the share of label 1 among them, one half without any; rows map one to one, so repeated rows, extra
@@ -79,9 +80,12 @@ class Model:
 
 def train(
     examples: list, counts: dict[int, int], size: int = 4, epochs: int = 10, rate: float = 0.1, decay: float = 2e-4, least: int = 4, apart_by: float = 3.0, factor_rate: float = 0.01,
-    factor_spread: float = 0.01, seed: int = 5,
+    factor_spread: float = 0.01, seed: int = 5, care: tuple[float, float] = (100.0, 10.0),
 ) -> Model:
-    """Each step sees a random share of its document's terms, so that no term leans on others to carry the label."""
+    """Each step sees a random share of its document's terms, so that no term leans on others to carry the label.
+
+    ``care`` is what the squared steps of weights and factors start with for terms of equal shares in both classes.
+    """
     n = [sum(1 for label, _, _ in examples if label == c) for c in (0, 1)]
     if not all(n):
         share = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.5
@@ -96,7 +100,9 @@ def train(
     share = documents / sum(n)
     spread = np.sqrt(share * (1 - share) * (1 / n[0] + 1 / n[1])) + 1e-12
     apart = np.abs(ones / n[1] - (documents - ones) / n[0]) / spread
-    terms = terms[(documents >= least) & (apart >= apart_by)]
+    kept = documents >= least
+    terms = terms[kept]
+    alike = np.clip(1 - (apart[kept] / apart_by) ** 2, 0, 1)
     held = []
     for label, own, _ in examples:
         at = np.searchsorted(terms, own)
@@ -104,7 +110,7 @@ def train(
         held.append((label, at[terms[at] == own] if len(terms) else at[:0]))
     random = np.random.default_rng(seed)
     weights, factors, bias = np.zeros(len(terms)), random.normal(0, factor_spread, (len(terms), size)), 0.0
-    steps_w, steps_f, step_b = np.full(len(terms), 1e-2), np.full((len(terms), size), 1e-2), 1e-2
+    steps_w, steps_f, step_b = 1e-2 + care[0] * alike, np.repeat(1e-2 + care[1] * alike[:, None], size, axis=1), 1e-2
     for _ in range(epochs):
         for i in random.permutation(len(held)):
             label, own = held[i]

@@ -319,6 +319,39 @@ def test_the_factorization_machine_learns_a_pair(spark):
     assert toxicity.keep_clean(docs, model).columns == docs.columns
 
 
+def pair_docs(n, seed):
+    """Every term has equal shares in both classes; only the pairs alpha beta and gamma delta are toxic."""
+    rng = random.Random(seed)
+    docs = []
+    for i in range(n):
+        pairs = [["alpha", "beta"], ["gamma", "delta"]] if i % 2 else [["alpha", "delta"], ["gamma", "beta"]]
+        docs.append((i % 2, " ".join(rng.sample([f"w{rng.randint(0, 400)}" for _ in range(30)] + pairs[i // 2 % 2], 32))))
+    return docs
+
+
+def test_terms_of_equal_shares_are_kept_and_tell_together_with_production_parameters():
+    docs = pair_docs(2000, 1)
+    found = toxicity.text_terms(pa.array([text for _, text in docs]))
+    model = toxicity.train([(label, *units) for (label, _), units in zip(docs, found)], {0: 1000, 1: 1000})
+    listed = np.concatenate([terms for terms, _ in toxic_terms("alpha beta gamma delta")])
+    assert np.isin(listed, model.terms).all()
+    unseen = pair_docs(400, 2)
+    score = model.probability(pa.array([text for _, text in unseen]))
+    assert np.mean((score >= 0.5) == np.array([label for label, _ in unseen])) > 0.9
+
+
+def toxic_terms(text):
+    return toxicity.text_terms(pa.array([text]))
+
+
+def test_a_toxic_word_of_few_documents_keeps_its_weight():
+    docs = [(i % 2, "tree river stone" + (" rareslur" if i in (1, 3, 5, 7) else "")) for i in range(400)]
+    found = toxicity.text_terms(pa.array([text for _, text in docs]))
+    model = toxicity.train([(label, *units) for (label, _), units in zip(docs, found)], {0: 200, 1: 200})
+    plain, rare = model.probability(pa.array(["tree river stone", "tree river stone rareslur"]))
+    assert rare > plain
+
+
 def test_subword_embeddings_learn_and_unlabelled_input_has_a_score(spark):
     docs, labels = labelled_docs(spark)
     model = quality.fit(docs, labels, labelled.held_out(3, 1))
