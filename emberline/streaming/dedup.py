@@ -20,7 +20,10 @@ def dedup_stream(
     few are repeated for each salt of the coarse side. Meeting several of them changes nothing, since
     coarse rows that meet any are dropped.
 
-    Fine detections pass at once; columns are those of ``detections``.
+    Fine detections pass at once; columns are those of ``detections``. No watermark can decide on a row without
+    ``acq_ts``, so it passes at once, whichever sensor it is of, and is compared with none: such a coarse row is
+    kept even where a fine one covers its cell and day, and such a fine row drops nothing. The batch dedup, which
+    needs the day only, drops in both cases; where the day is missing as well the two agree.
     """
     timed = detections.withColumn("_ts", F.col("acq_ts").cast("timestamp"))
     celled = timed.withColumn("_cell", cell_id(F.col("lon"), F.col("lat"), per_degree))
@@ -29,7 +32,7 @@ def dedup_stream(
 
     salt = F.pmod(F.xxhash64(id_column), F.lit(salts)).cast("int")
     seen = (
-        celled.where(fine)
+        celled.where(fine & F.col("_ts").isNotNull())
         .select(
             F.col("_cell").alias("_fine_cell"),
             F.col("acq_date").alias("_fine_date"),
@@ -42,7 +45,7 @@ def dedup_stream(
         .withColumn("_fine_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
     waiting = (
-        celled.where(coarse)
+        celled.where(coarse & F.col("_ts").isNotNull())
         .withColumn("_salt", salt)
         .withWatermark("_ts", delay)
     )
@@ -58,4 +61,5 @@ def dedup_stream(
         .where("_fine_cell is null")
         .select(*detections.columns)
     )
-    return detections.where(~F.coalesce(coarse, F.lit(False))).unionByName(unmatched)
+    at_once = ~F.coalesce(coarse, F.lit(False)) | F.col("acq_ts").isNull()
+    return detections.where(at_once).unionByName(unmatched)

@@ -148,6 +148,30 @@ def test_dedup_stream_equals_batch(spark, tmp_path):
     assert 0 < len(got) < 600
 
 
+def test_dedup_stream_keeps_detections_without_a_time(spark, tmp_path):
+    fine, coarse, at = "VIIRS (Suomi NPP)", "MODIS (Terra/Aqua)", dt.datetime(2024, 1, 1, 12)
+    day, late = at.date(), dt.datetime(2024, 3, 1)
+    rows = [
+        (1, 1.0, 1.0, coarse, None, None), (2, 1.0, 1.0, coarse, None, day), (3, 2.0, 2.0, fine, None, None), (4, 2.0, 2.0, coarse, at, day),
+        (5, 3.0, 3.0, fine, None, day), (6, 3.0, 3.0, fine, at, day), (7, 3.0, 3.0, coarse, at, day), (8, 5.0, 5.0, None, None, None),
+    ]
+    covered = [(9, 3.0, 3.0, coarse, None, day), (10, 6.0, 6.0, fine, None, day), (11, 6.0, 6.0, coarse, at, day)]
+    tail = [(10_000 + k, 80.0, 80.0, s, late + dt.timedelta(hours=k), late.date()) for k, s in enumerate([fine, coarse] * 2)]
+    schema = "id int, lon double, lat double, source string, acq_ts timestamp_ntz, acq_date date"
+    for n, part in enumerate([rows + covered, tail[:2], tail[2:]]):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"f{n}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    query = (
+        dedup_stream(stream, "id", salts=1).writeStream.outputMode("append").format("parquet")
+        .option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    got = sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).where("id < 10000").collect())
+    batch = sorted(r["id"] for r in det.dedup_cross_sensor(spark.createDataFrame(rows, schema), scope="day").collect())
+    assert [i for i in got if i < 9] == batch == [1, 2, 3, 4, 5, 6, 8]
+    assert [i for i in got if i >= 9] == [9, 10, 11]  # no time, no comparison: kept, as the docstring says
+
+
 def test_checkpoints_of_two_outputs_differ(spark):
     first, second = (refresh.checkpoint_root(spark, out) for out in ("/o", "/p"))
     shared = spark.conf.get("spark.checkpoint.dir", None)
