@@ -258,6 +258,99 @@ def test_license_rules(spark):
     assert [r["restricted"] for r in rows] == [True, False, False, True, False, False, False]
 
 
+APACHE = """Copyright 2019 The Authors. All rights reserved.
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+MIT = """The MIT License (MIT)
+
+Copyright (c) 2015 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND.
+"""
+BSD_2 = """Copyright (c) 2010, Somebody
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_3 = BSD_2.replace("1. ", "* ").replace("2. ", "(b) ") + """3) Neither the name of Big Company Inc. nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL = """{0} is free software{1} you can redistribute it and/or modify
+it under the terms of the GNU {2} as published by
+the Free Software Foundation, either version {3} of the License, or
+(at your option) any later version.
+
+{0} is distributed in the hope that it will be useful.
+
+You should have received a copy of the GNU {2}
+along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+
+
+def test_whole_wrapped_licence_texts_have_their_licences(spark):
+    whole = {
+        "Apache-2.0": APACHE,
+        "MIT": MIT,
+        "BSD-2-Clause": BSD_2,
+        "BSD-3-Clause": BSD_3,
+        "GPL-3.0": GPL.format("This program", ":", "General Public License", 3),
+        "GPL-2.0": GPL.format("Some Tool", ";", "General Public License", 2),
+        "LGPL-2.1": GPL.format("This library", ";", "Lesser General Public\nLicense", 2.1),
+        "AGPL-3.0": GPL.format("This program", ":", "Affero General Public License", 3),
+        "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.\n",
+        "ISC": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n",
+        "CC-BY-SA-4.0": "This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License.",
+        "BSD-3-Clause ": "// SPDX-License-Identifier: BSD-3-Clause",
+        "GPL-2.0 ": "/* SPDX-License-Identifier: GPL-2.0-or-later */",
+        "MIT,Apache-2.0": "# SPDX-License-Identifier: MIT OR Apache-2.0",
+    }
+    marks = [("", "", ""), ("# ", "", ""), ("// ", "", ""), (" * ", "/*\n", " */\n"), ("REM ", "", ""), ("\t", "", "")]
+    docs, expected = [], {}
+    for name, text in whole.items():
+        for before, start, end in marks if not text.startswith(("/", "#")) else marks[:1]:
+            for feed in ("\n", "\r\n"):
+                marked = start + "".join((before + line).rstrip(" ") + "\n" for line in text.splitlines()) + end
+                expected[len(docs)] = name.strip().split(",")
+                docs.append((len(docs), ("x = 1\n\n" + marked + "\nimport os\n").replace("\n", feed)))
+    rewrapped = " ".join(APACHE.split("\n\n")[1].split())
+    for width in (30, 55, 200):
+        expected[len(docs)] = ["Apache-2.0"]
+        docs.append((len(docs), "\n".join(re.findall(rf".{{1,{width}}}(?: |$)", rewrapped))))
+    rows = licenses.scan(frame(spark, docs)).collect()
+    assert {r["doc_id"]: r["licenses"] for r in rows} == expected
+    restricted = {name for r in rows for name in r["licenses"] if r["restricted"]}
+    assert restricted == {"GPL-3.0", "GPL-2.0", "LGPL-2.1", "AGPL-3.0", "MPL-2.0", "CC-BY-SA-4.0"}
+
+
 def test_archives_round_trip_whatever_the_payload_holds(spark):
     big = "<html>" + "x\r\n\r\nWARC/1.0\r\n" * 200 + "é</html>"
     pages = [(1, "http://a/b c", big), (2, "http://b/", big), (2, "http://b/", big), (9, None, big), (4, "", None), (5, "u", ""), (None, "n", big), (7, "s", "tiny"), (8, "s", "tiny")]
