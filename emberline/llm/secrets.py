@@ -1,8 +1,9 @@
 """Secret scans by corpus-wide ownership of candidate values, in DataFrame functions only.
 
 Patterns find candidates in whole texts. Each candidate value is hashed, and over the whole corpus its distinct
-repositories and owners are counted: a value that many owners carry is a copied example, one that few carry and
-that looks random is a live credential of theirs. The base kinds (assign, access, hex) are always reported, with
+repositories and owners are counted: a value that many owners or many repositories carry is a copied example, one
+that few carry and that looks random is a live credential of theirs. The bound for repositories is twice that for
+owners: one or two owners may use a credential of theirs in several repositories. The base kinds (assign, access, hex) are always reported, with
 that verdict; long mixed tokens outside of them are added as kind ``owned`` only where the count says live.
 
 Offsets are code points, end exclusive. ``split`` and ``regexp_extract_all`` cut a text by the same pattern, so
@@ -89,13 +90,17 @@ def ownership(found: DataFrame) -> DataFrame:
     )
 
 
-def scan(docs: DataFrame, owner: Column | None = None, repository: Column | None = None, copied_from: int = 3) -> DataFrame:
-    """``docs`` with their ``spans``, sorted by start, then kind; values of ``copied_from`` owners and more are examples."""
+def scan(docs: DataFrame, owner: Column | None = None, repository: Column | None = None, copied_from: int = 3, copied_to: int = 6) -> DataFrame:
+    """``docs`` with their ``spans``, sorted by start, then kind.
+
+    Values of ``copied_from`` owners and more, or in ``copied_to`` repositories and more, are examples.
+    """
     owner = F.col("source") if owner is None else owner
     repository = F.concat_ws("/", "source", "lang") if repository is None else repository
     found = settle(candidates(docs, owner, repository))
     rated = found.join(ownership(found), "hash", "left")
-    verdict = F.when(F.col("owners") >= copied_from, "example").when(F.col("live"), "live").otherwise("unlikely")
+    copied = (F.col("owners") >= copied_from) | (F.col("repositories") >= copied_to)
+    verdict = F.when(copied, "example").when(F.col("live"), "live").otherwise("unlikely")
     rated = rated.select(
         "doc_id", "text_key", "start", "end", "kind", verdict.alias("verdict"), "owners", "repositories"
     ).distinct()
@@ -130,7 +135,7 @@ def joined(spans: Column) -> Column:
 
 
 def redact(scanned: DataFrame) -> DataFrame:
-    """Texts with every span replaced by ``[secret]``, or ``[example]`` where many owners carry its value.
+    """Texts with every span replaced by ``[secret]``, or ``[example]`` where many owners or repositories carry its value.
 
     Spans that overlap are taken as one, with the first one's mark. A null text stays null.
     """

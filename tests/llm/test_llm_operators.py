@@ -258,6 +258,17 @@ def test_license_rules(spark):
     assert [r["restricted"] for r in rows] == [True, False, False, True, False, False, False]
 
 
+def test_values_of_few_owners_in_many_repositories_are_examples(spark):
+    many, few = "aB3dE6gH9jK2mN5pQ8sT1", "zY9xW8vU7tS6rQ5pO4nM3"
+    docs = [(i, f"see {many} here password={many}", f"lang{i % 3}", f"src{i // 3}") for i in range(6)]
+    docs += [(10 + i, f"see {few} here", f"lang{i % 3}", f"src{i // 3}") for i in range(5)]
+    scanned = secrets.scan(frame(spark, docs))
+    rows = {r["doc_id"]: [(s["kind"], s["verdict"], s["owners"], s["repositories"]) for s in r["spans"]] for r in scanned.collect()}
+    assert all(rows[i] == [("assign", "example", 2, 6)] for i in range(6))
+    assert all(rows[10 + i] == [("owned", "live", 2, 5)] for i in range(5))
+    assert {r["text"] for r in secrets.redact(scanned).filter("doc_id < 6").collect()} == {f"see {many} here [example]"}
+
+
 APACHE = """Copyright 2019 The Authors. All rights reserved.
 
 Licensed under the Apache License, Version 2.0 (the "License");
