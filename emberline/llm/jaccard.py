@@ -12,7 +12,8 @@ hold out of the product; it changes no result.
 Only components are wanted, so a block needs no pair whose ends are connected already. Within each column one
 row is the pivot and is tried with all others; what that joins needs no more trying. Columns that still span
 several components get another pivot; once few are left over, every pair between different components is tried.
-No group is ever written out as all its pairs, and no link between different sets is lost.
+No group is ever written out as all its pairs, and no link between different sets is lost. Who wants the links
+themselves, or their number per row, takes ``linked_pairs``, which tries every pair of the mask.
 
 Defined cases: null, empty and blank texts have no shingles, link with nothing and are components of their own
 (also when repeated); fewer words than five make one shingle of all; rows map one to one, repeated ones too; null
@@ -307,6 +308,33 @@ def link_components(docs: DataFrame, share: int = SHARE, pivot_rounds: int = 6,
     return joined.withColumn("component_id", component)
 
 
+def linked_pairs(docs: DataFrame, share: int = SHARE, block: int = 512) -> tuple[DataFrame, DataFrame]:
+    """Every link, beside the components: (a, b, m, n, shared) of all linked pairs of different sets, and for every
+    row of ``docs`` doc_id, text_key, node (its set, as a or b) and n_links, the number of other rows it links with.
+
+    No candidate is left out for being connected already, so groups of near copies cost the square of their
+    different sets, as does the result itself; copies of one set are one node, however many.
+    """
+    own = settle(prefixes(docs, frequent(docs)))
+    nodes = settle(own.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.count("*").alias("copies")))
+    heads = own.join(nodes.select("node", F.col("rep").alias("doc_id")), ["node", "doc_id"]).dropDuplicates(["node"])
+    postings = heads.select("node", "n", F.posexplode("prefix").alias("at", "key"))
+    totals = postings.groupBy("key").agg(F.count("*").alias("total")).filter("total > 1")
+    rows = postings.join(totals, "key").withColumn("blocks", F.ceil(F.col("total") / block).cast("int"))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("bigint")).cast("int"))
+    other = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    other = other.select("key", "block", *(F.col(c).alias(f"q_{c}") for c in ("node", "n", "at")))
+    fits = (F.col("q_node") < F.col("node")) & may_link(F.col("q_n"), F.col("n"), F.col("q_at"), F.col("at"), share)
+    tried = settle(_pairs(other.join(dealt, ["key", "block"]).filter(fits).select(F.col("q_node").alias("a"), F.col("node").alias("b"))))
+    counted = overlaps(docs, nodes, within_bounds(own, tried, share))
+    pairs = settle(counted.filter(100 * F.col("shared") >= share * (F.col("m") + F.col("n") - F.col("shared"))))
+    ends = pairs.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("to")))
+    others = ends.join(nodes.select(F.col("node").alias("to"), "copies"), "to").groupBy("node").agg(F.sum("copies").alias("others"))
+    degree = nodes.join(others, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    members = own.select(F.when(F.col("doc_id") != _NULL_ID, F.col("doc_id")).alias("doc_id"), "text_key", "node").join(degree, "node", "left")
+    return pairs, members.select("doc_id", "text_key", "node", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component, that of the smallest id (of repeated rows any); rows without shingles stay."""
     found = link_components(docs)

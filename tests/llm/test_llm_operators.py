@@ -165,6 +165,19 @@ def test_jaccard_on_tables_and_passes_of_a_few_words(spark):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows) == [(1, n, 1), (2, 1, 2), (3, n, 1), (4, 1, 2)]
 
 
+def test_linked_pairs_and_links_per_row_equal_brute_force(spark):
+    docs = near_copies(11, 60) + [(500, "one"), (501, "One"), (502, "two words"), (None, "two words"), (503, ""), (504, None), (505, "one")]
+    split = [re.findall(r"[^\x20\x09-\x0D]+", low(t)) for _, t in docs]
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset() for w in split]
+    linked = lambda a, b: bool(a) and 100 * len(a & b) >= 80 * len(a | b)
+    links = [sum(linked(a, b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)]
+    distinct = sorted(set(sets), key=repr)
+    sizes = [tuple(sorted((len(a), len(b)))) + (len(a & b),) for i, a in enumerate(distinct) for b in distinct[:i] if linked(a, b)]
+    pairs, members = jaccard.linked_pairs(frame(spark, docs), block=16)
+    assert sorted((*sorted((r["m"], r["n"])), r["shared"]) for r in pairs.collect()) == sorted(sizes)
+    assert sorted(repr((r["doc_id"], r["n_links"])) for r in members.collect()) == sorted(repr((d, n)) for (d, _), n in zip(docs, links))
+
+
 def test_frequent_shingles_change_no_component(spark, monkeypatch):
     docs = near_copies(4, 90)
     monkeypatch.setattr(jaccard, "frequent", lambda rows: np.unique(np.concatenate(list(jaccard.text_sets(pa.array([t for _, t in docs]))))))
