@@ -83,6 +83,30 @@ SELECT d AS doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(c) AS c
 """
 
 
+_VECTORS = """
+v AS MATERIALIZED (SELECT vec_id, {label} AS label, [floor(256 * x::DOUBLE) FOR x IN embedding] AS c
+      FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND {known}
+      AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)"""
+
+NEGATIVES = f"""
+WITH {_VECTORS.format(label="CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END", known="label IS NOT NULL")},
+s AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_inner_product(a.c, b.c)::BIGINT AS s
+                   FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT a, b, s FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, row_number() OVER w AS rank, s.b AS negative_id, p.s AS positive_score, s.s AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT s.same AND 50 * p.s <= 100 * s.s AND 100 * s.s <= 95 * p.s
+WINDOW w AS (PARTITION BY p.a, p.b ORDER BY s.s DESC, s.b) QUALIFY row_number() OVER w <= 3
+"""
+
+TOPK = f"""
+WITH {_VECTORS.format(label="label", known="true")},
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.c, b.c)::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, row_number() OVER w AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontamination": DECONTAMINATION,
@@ -90,4 +114,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_warc": WARC,
         "op9_chat": CHAT,
         "op10_jaccard": JACCARD,
+        "op11_negatives": NEGATIVES,
+        "op13_topk": TOPK,
     }

@@ -30,3 +30,10 @@ def settle(df: DataFrame) -> DataFrame:
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path of its own below the shared folder, not created yet."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as compressed Parquet into the shared folder and read back, only the columns asked for."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

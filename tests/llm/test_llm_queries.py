@@ -18,7 +18,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables he
 @pytest.fixture(scope="module")
 def oracle():
     connection = duckdb.connect()
-    for name in ("documents", "pages", "benchmark", "labels", "conversations"):
+    for name in ("documents", "pages", "benchmark", "labels", "conversations", "embeddings"):
         connection.sql(f"create view {name} as select * from '{SF}/{name}.parquet'")
     return connection
 
@@ -31,7 +31,7 @@ def test_query_matches_oracle(spark, oracle, name):
     assert sorted(map(repr, (tuple(r) for r in got.select(*columns).collect()))) == sorted(map(repr, expected))
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.queries()) - set(oracles.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(queries.queries()) - set(oracles.oracle_sql()) - {"op12_spelling"}))
 def test_query_has_a_row_per_document(spark, oracle, name):
     ids = [r["doc_id"] for r in contract.queries()[name](spark, SF).collect()]
     assert sorted(ids) == [i for (i,) in oracle.sql("select doc_id from documents order by doc_id").fetchall()]
