@@ -18,6 +18,38 @@ def truthy_number(*columns: Column) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit(0.0)) for c in columns])
 
 
+def member(properties: Column, name: str) -> Column:
+    """Value behind ``name`` (told apart by case) of a VARIANT object, as a VARIANT; null where it is absent."""
+    return F.try_variant_get(properties, f"$['{name}']", "variant")
+
+
+def variant_text(value: Column) -> Column:
+    """A VARIANT as text: strings as they are, anything else as JSON; null for a JSON null."""
+    return F.try_variant_get(value, "$", "string")
+
+
+def filled(value: Column) -> Column:
+    """Whether a VARIANT holds something: no null, no empty text, list or object, no number 0, no false.
+
+    A text "0" does hold something.
+    """
+    kind, text = F.schema_of_variant(value), variant_text(value)
+    return (
+        F.when(value.isNull() | (kind == "VOID"), False)
+        .when(kind == "STRING", text != "")
+        .when(kind == "BOOLEAN", text == "true")
+        .when(kind.startswith("ARRAY"), text != "[]")
+        .when(kind.startswith("OBJECT"), text != "{}")
+        .otherwise(F.coalesce(text.try_cast("double") != 0, F.lit(True)))
+    )
+
+
+def first_filled(properties: Column, *names: str) -> Column:
+    """The first of the members ``names`` that holds something, as a VARIANT."""
+    values = [member(properties, name) for name in names]
+    return F.coalesce(*[F.when(filled(v), v) for v in values])
+
+
 def number_or_null(text: Column) -> Column:
     """Text as DOUBLE, null when it is no number.
 
@@ -26,6 +58,13 @@ def number_or_null(text: Column) -> Column:
     return F.translate(text, "dDfF", "xxxx").try_cast("double")
 
 
+def variant_number(value: Column) -> Column:
+    """A VARIANT as DOUBLE: numbers, true as 1, texts that are numbers; null for anything else."""
+    kind, text = F.schema_of_variant(value), variant_text(value)
+    nested = kind.startswith("ARRAY") | kind.startswith("OBJECT")
+    return F.when(kind == "BOOLEAN", (text == "true").cast("double")).when(~nested, number_or_null(F.trim(text)))
+
+
 def cell_index(degrees: Column, per_degree: int = 100) -> Column:
     """Nearest 1/``per_degree``-degree cell as BIGINT; null where there is no finite coordinate."""
     return F.when(F.abs(degrees) < 1e6, F.floor(degrees * float(per_degree) + 0.5))

@@ -6,9 +6,10 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberline.functions import tables
-from emberline.functions.semantics import grouped, literal, number_or_null, truthy_text, whole
+from emberline.functions.semantics import first_filled, grouped, member, truthy_text, variant_number, variant_text, whole
 
 
 def _constants(values: tuple[str, str, str]) -> list[Column]:
@@ -32,29 +33,30 @@ def normalize_usa(features: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
     )
 
 
-def normalize_mexico(features: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
-    """Rows with ``geometry`` and the ``properties`` map of the Mexico feed to the perimeter layer.
-
-    The feed spells its keys in several ways; the first non-empty spelling counts, for the area the first
-    that is not 0 either. An area that is no number is 0.
-    """
+def _stated(properties: Column, name: str, otherwise: str) -> Column:
+    """``name`` if it holds something, else ``otherwise`` as it stands: absent is empty text, a JSON null is null."""
+    last = member(properties, otherwise)
+    return F.coalesce(variant_text(first_filled(properties, name)), F.when(last.isNull(), "").otherwise(variant_text(last)))
 
-    def first_of(*names: str) -> Column:
-        return F.expr(f"coalesce({', '.join(f'nullif(properties[{literal(name)}], {empty})' for name in names)})")
 
-    def first_area(*names: str) -> Column:
-        values = [F.col("properties")[name] for name in names]
-        return F.coalesce(*[F.when(F.coalesce(number_or_null(v), F.lit(1.0)) != 0, F.nullif(v, F.lit(""))) for v in values])
+def normalize_mexico(features: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
+    """Rows with ``geometry`` and the ``properties`` of the Mexico feed to the perimeter layer.
 
-    empty = literal("")
+    ``properties`` is a VARIANT with the values as the feed types them, or a map of texts. The feed spells its keys in
+    several ways and the first spelling that holds something counts: a number 0 gives way to the next one, a text "0"
+    does not. An area that is no number is 0.
+    """
+    if not isinstance(features.schema["properties"].dataType, T.VariantType):
+        features = features.withColumn("properties", F.to_variant_object("properties"))
+    p = F.col("properties")
     named = features.select(
         *keep,
         "geometry",
-        F.coalesce(first_of("NOMBRE", "nombre", "INCENDIO"), F.lit("Incendio Activo")).alias("name"),
-        F.coalesce(number_or_null(first_area("SUPERFICIE", "superficie", "HA")), F.lit(0.0)).alias("_ha"),
-        F.coalesce(first_of("FECHA", "fecha"), F.lit("")).alias("date_updated"),
-        F.coalesce(first_of("ESTADO", "estado"), F.lit("")).alias("state"),
-        F.coalesce(first_of("MUNICIPIO", "municipio"), F.lit("")).alias("municipality"),
+        F.coalesce(variant_text(first_filled(p, "NOMBRE", "nombre", "INCENDIO")), F.lit("Incendio Activo")).alias("name"),
+        F.coalesce(variant_number(first_filled(p, "SUPERFICIE", "superficie", "HA")), F.lit(0.0)).alias("_ha"),
+        _stated(p, "FECHA", "fecha").alias("date_updated"),
+        _stated(p, "ESTADO", "estado").alias("state"),
+        _stated(p, "MUNICIPIO", "municipio").alias("municipality"),
     )
     return named.select(
         *keep,

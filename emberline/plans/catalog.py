@@ -17,7 +17,9 @@ from emberline.operators import positions, status, summaries, views
 from emberline.operators import weather as wx
 from emberline.operators.space import within_bbox
 from emberline.plans import standins
+from emberline.schemas import MEXICO_JSON_FEATURE, USA_FEATURE
 from emberline.sinks.geojson import feature_text
+from emberline.sources.documents import parsed
 
 AS_OF = dt.datetime(2024, 1, 31)
 GENERATED_AT = "2024-01-31T00:00:00+00:00"
@@ -181,6 +183,16 @@ def perimeters_unified(spark: SparkSession, sf: str) -> DataFrame:
     return _perimeters(spark, sf).drop("geometry")
 
 
+def perimeter_parse(spark: SparkSession, sf: str) -> DataFrame:
+    """Both agencies' features from the JSON texts as they land: values typed, missing, empty and of the wrong kind."""
+    usa = per.normalize_usa(parsed(standins.usa_lines(spark, sf), USA_FEATURE).rows, keep=["id"])
+    mexico = per.normalize_mexico(parsed(standins.mexico_lines(spark, sf), MEXICO_JSON_FEATURE).rows, keep=["id"])
+    return per.unify(usa, mexico).select(
+        "id", "country", "name", "acres", "hectares", "date_created", "date_updated", "category", "state", "municipality",
+        F.col("geometry.type").alias("shape"), F.col("geometry.coordinates").alias("coordinates"),
+    )
+
+
 def perimeter_top200(spark: SparkSession, sf: str) -> DataFrame:
     usa = per.normalize_usa(standins.usa_features(spark, sf), keep=["id"])
     return per.top_perimeters(usa, "id").select("id", "name", "acres", "hectares")
@@ -315,7 +327,7 @@ _QUERIES = [
     hotspot_normalize, hotspot_dedup, hotspot_dedup_daily, hotspot_by_intensity, hotspot_lookback, hotspot_world,
     hotspot_map_view, hotspot_decimate, fwi_components, fwi_now, fwi_class_rangejoin, fwi_forecast, fwi_trend,
     fwi_layer, fwi_rejected, weather_layer, grid_points, grid_weather_join, fwi_map_view, max_fwi_zone,
-    prefire_summary, perimeters_unified, perimeter_top200, perimeter_first200, perimeter_totals,
+    prefire_summary, perimeters_unified, perimeter_parse, perimeter_top200, perimeter_first200, perimeter_totals,
     perimeter_by_country, perimeter_map_view, largest_fire, largest_fire_card, infra_normalize, infra_by_type,
     infra_type_map, infra_viewport, infra_bbox, infra_map_view, active_fire_summary, layer_last_good,
     layer_freshness, layer_errors, layer_status_flags, layer_metadata, place_label, geojson_features,

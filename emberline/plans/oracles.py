@@ -83,6 +83,26 @@ trended as (select wx.*, forecast, n_days, {RISK_CLASS} risk_class, {RISK_LABEL}
   from wx join per_point using (point_id))"""
 WX_TREND = f"{WX}, {DAYS}"
 
+_PLACED = """case when {id}%4=0 then null when {id}%4=1 then 'MultiPolygon' else 'Polygon' end shape,
+  case when {id}%4=0 then null when {id}%4=1
+    then '[[[[' || {id}%90 || ',1],[2.5,3],[4,5.5],[' || {id}%90 || ',1]]],[[[7,8],[9,8],[9,9],[7,8]]]]'
+    else '[[[' || {id}%90 || ',1],[2.5,3],[4,-5.5],[' || {id}%90 || ',1]]]' end coordinates"""
+
+#: What the JSON texts of the features say, from the columns they are made of.
+PARSED = f"""with usa as (select o_orderkey id, 'USA' country,
+    case when o_orderkey%41=0 then 'Unknown Fire' else 'Fire }}]{{[ ' || o_orderkey end "name",
+    case when o_orderkey%50<>0 then o_orderkey%9000+0.5e0 end acres, cast(o_orderdate as varchar) date_created, cast(null as varchar) date_updated,
+    case when o_orderkey%3=1 then o_orderstatus else '' end category, cast(null as varchar) state, cast(null as varchar) municipality,
+    {_PLACED.format(id='o_orderkey')} from orders),
+mexico as (select s_suppkey id, 'Mexico' country,
+    case when s_suppkey%5=3 then cast(s_suppkey as varchar) when s_suppkey%5=4 then 'Incendio Activo' else s_name end "name",
+    cast(case s_suppkey%8 when 0 then 12.34e0 when 2 then s_nationkey when 4 then s_suppkey+0.25e0 when 5 then 7.25e0 when 6 then 1 else 0 end as double) ha,
+    cast(null as varchar) date_created, case s_suppkey%7 when 0 then '2024' when 1 then null when 2 then '20240131' else '' end date_updated,
+    cast(null as varchar) category, cast(s_nationkey as varchar) state, '' municipality, {_PLACED.format(id='s_suppkey')} from supplier)
+select id, country, "name", acres, round(coalesce(acres,0e0)*0.404686e0,1) hectares, date_created, date_updated, category, state, municipality, shape, coordinates from usa
+union all
+select id, country, "name", round(ha*2.47105e0,1), round(ha,1), date_created, date_updated, category, state, municipality, shape, coordinates from mexico"""
+
 PERIM = f"""{WFIGS_RAW}, {CONAFOR_RAW},
 usa as (select id, coalesce(incident_name,'Unknown Fire') as name, gis_acres acres,
     round(coalesce(gis_acres,0e0)*0.404686e0,1) hectares, create_date date_created, update_date date_updated,
@@ -208,6 +228,7 @@ ORACLES = {
             when very_high_zones > 0 then very_high_zones || ' zone(s) at VERY HIGH fire danger. Monitor conditions closely.'
             else 'Current fire weather conditions are within manageable range.' end alert from counted""",
     "perimeters_unified": f"{_with(PERIM)} select * from perim",
+    "perimeter_parse": PARSED,
     "perimeter_top200": f"{_with(PERIM)} select id, name, acres, hectares from usa order by acres desc nulls last, id limit 200",
     "perimeter_first200": f"{_with(PERIM)} select id, name, acres, hectares from mexico order by id limit 200",
     "perimeter_totals": f"""{_with(PERIM)} select count(*) total_fires, cast(sum(cast(hectares as decimal(20,1))) as double) total_hectares,

@@ -55,6 +55,33 @@ select s_suppkey id,
 from {supplier}
 """
 
+# Features as they land, one JSON text each. Values come in the types and spellings that the feeds have.
+_SHAPE = """'{{"type":"Feature","geometry":' || case when $id%4=0 then 'null'
+    when $id%4=1 then '{{"type":"MultiPolygon","coordinates":[[[[' || cast($id%90 as string) || ',1],[2.5,3],[4,5.5],[' || cast($id%90 as string) || ',1]]],[[[7,8],[9,8],[9,9],[7,8]]]]}}'
+    else '{{"type":"Polygon","coordinates":[[[' || cast($id%90 as string) || ',1],[2.5,3],[4,-5.5],[' || cast($id%90 as string) || ',1]]]}}' end"""
+
+WFIGS_JSON = f"""
+select o_orderkey id, {_SHAPE.replace('$id', 'o_orderkey')} || ',"properties":{{{{"poly_CreateDate":"' || cast(o_orderdate as string) || '"'
+  || case when o_orderkey%41=0 then '' else ',"poly_IncidentName":"Fire }}}}]{{{{[ ' || cast(o_orderkey as string) || '"' end
+  || case when o_orderkey%50=0 then '' else ',"poly_GISAcres":' || cast(o_orderkey%9000 as string) || '.5' end
+  || case when o_orderkey%3=0 then ',"poly_PerimeterCategory":""' when o_orderkey%3=1 then ',"poly_PerimeterCategory":"' || o_orderstatus || '"' else '' end
+  || '}}}}}}}}' value
+from {{orders}}
+"""
+
+CONAFOR_JSON = f"""
+select s_suppkey id, {_SHAPE.replace('$id', 's_suppkey')} || ',"properties":{{{{"ESTADO":"' || cast(s_nationkey as string) || '"'
+  || case s_suppkey%5 when 0 then ',"NOMBRE":"' || s_name || '"' when 1 then ',"NOMBRE":"","nombre":"' || s_name || '"'
+    when 2 then ',"NOMBRE":0,"nombre":null,"INCENDIO":"' || s_name || '"' when 3 then ',"nombre":' || cast(s_suppkey as string) else '' end
+  || case s_suppkey%8 when 0 then ',"SUPERFICIE":0,"superficie":"12.34"' when 1 then ',"SUPERFICIE":"0","superficie":"12.34"'
+    when 2 then ',"SUPERFICIE":"","HA":' || cast(s_nationkey as string) when 3 then ',"SUPERFICIE":null,"superficie":"n/d","HA":5'
+    when 4 then ',"HA":' || cast(s_suppkey as string) || '.25' when 5 then ',"SUPERFICIE":false,"superficie":[],"HA":"7.25"'
+    when 6 then ',"SUPERFICIE":true' else '' end
+  || case s_suppkey%7 when 0 then ',"FECHA":"2024"' when 1 then ',"FECHA":"","fecha":null' when 2 then ',"FECHA":0,"fecha":20240131' else '' end
+  || '}}}}}}}}' value
+from {{supplier}}
+"""
+
 OSM_RAW = """
 select c_custkey id,
   case when c_custkey%10=0 then 'relation' when c_custkey%10<5 then 'way' else 'node' end el_type,
@@ -159,6 +186,15 @@ def mexico_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.selectExpr("id", NO_SHAPE, f"{_present(columns)} as properties")
 
 
+def usa_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id`` and the JSON text ``value`` of each feature."""
+    return _view(spark, sf_dir, WFIGS_JSON, "orders")
+
+
+def mexico_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, CONAFOR_JSON, "supplier")
+
+
 def osm_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = {
         "amenity": "amenity",

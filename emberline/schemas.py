@@ -60,8 +60,10 @@ USA_FEATURE = struct(
     ),
 )
 
-# Property names differ only by case between records, so they have to be map keys, not columns.
+# Property names differ only by case between records, so they have to be map keys, not columns. As read from JSON
+# the values keep their types, for a number 0 is empty where a text "0" is not.
 MEXICO_FEATURE = struct(geometry=SHAPE, properties=T.MapType(STRING, STRING))
+MEXICO_JSON_FEATURE = struct(geometry=SHAPE, properties=T.VariantType())
 
 OSM_ELEMENT = struct(
     type=STRING,

@@ -14,6 +14,8 @@ def build_session(app_name: str = "emberline", master: str | None = None, **conf
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        # of a key that a JSON object repeats the last value counts
+        .config("spark.sql.variant.allowDuplicateKeys", "true")
     )
     if master is not None:
         builder = builder.master(master)

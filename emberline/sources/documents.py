@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberline.schemas import MEXICO_FEATURE, OSM_ELEMENT, USA_FEATURE, WEATHER_RESPONSE, collection_schema
+from emberline.schemas import MEXICO_JSON_FEATURE, OSM_ELEMENT, USA_FEATURE, WEATHER_RESPONSE, collection_schema
 from emberline.sources.scan import Scan, isolated, nothing_parsed
 
 Paths = str | list[str]
@@ -38,6 +38,16 @@ def _exploded(spark: SparkSession, paths: Paths, item: T.StructType, items: str)
     return isolated(spark, item, read)
 
 
+def parsed(lines: DataFrame, item: T.StructType, column: str = "value") -> Scan:
+    """JSON texts in ``column``, one member each, as rows beside the other columns; those that do not parse are rejects."""
+    schema = T.StructType([*item.fields, T.StructField("_corrupt_record", T.StringType())])
+    others = [F.col(f"`{name}`") for name in lines.columns if name != column]
+    read = lines.select(*others, F.from_json(column, schema, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("_item"))
+    rows = read.select(*others, "_item.*")
+    lost = nothing_parsed(item)
+    return Scan(rows.where(~lost).drop("_corrupt_record"), rejects=rows.where(lost).select("_corrupt_record"))
+
+
 def _lines(spark: SparkSession, paths: Paths, item: T.StructType) -> Scan:
     """The same members landed one per line: splittable, for volume. Lines that do not parse are rejects."""
 
@@ -59,11 +69,11 @@ def read_usa_perimeters(spark: SparkSession, paths: Paths, lines: bool = False)
 
 
 def read_mexico_perimeters(spark: SparkSession, paths: Paths, lines: bool = False) -> Scan:
-    return _read(spark, paths, MEXICO_FEATURE, "features", lines)
+    return _read(spark, paths, MEXICO_JSON_FEATURE, "features", lines)
 
 
 def read_elements(spark: SparkSession, paths: Paths, lines: bool = False) -> Scan:
     return _read(spark, paths, OSM_ELEMENT, "elements", lines)
 
 
-__all__ = ["read_elements", "read_mexico_perimeters", "read_usa_perimeters", "read_weather"]
+__all__ = ["parsed", "read_elements", "read_mexico_perimeters", "read_usa_perimeters", "read_weather"]

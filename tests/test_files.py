@@ -121,11 +121,25 @@ def test_perimeter_documents(spark, documents):
     assert (scan.rows.count(), scan.rejects.count()) == (2, 1)
 
 
-def test_area_of_zero_gives_way_to_the_next_spelling(spark):
-    areas = [({"SUPERFICIE": "0", "HA": "12.5"}, 12.5), ({"SUPERFICIE": "0"}, 0.0), ({"SUPERFICIE": "", "superficie": "3"}, 3.0), ({"SUPERFICIE": "x", "HA": "1"}, 0.0), ({}, 0.0)]
-    df = spark.createDataFrame([(i, None, p) for i, (p, _) in enumerate(areas)], "id int, geometry struct<type string, coordinates string>, properties map<string, string>")
-    got = {r["id"]: r["hectares"] for r in per.normalize_mexico(df, keep=["id"]).collect()}
-    assert got == {i: area for i, (_, area) in enumerate(areas)}
+def test_area_of_a_number_zero_gives_way_and_that_of_a_text_does_not(spark, tmp_path):
+    stated = [
+        ('"SUPERFICIE": 0, "HA": "12.5"', 12.5), ('"SUPERFICIE": "0", "HA": "12.5"', 0.0), ('"SUPERFICIE": 0', 0.0),
+        ('"SUPERFICIE": "", "superficie": "3"', 3.0), ('"SUPERFICIE": "x", "HA": 1', 0.0), ("", 0.0), ('"SUPERFICIE": 0.0, "superficie": -0.0, "HA": 4', 4.0),
+        ('"SUPERFICIE": false, "superficie": [], "HA": {}', 0.0), ('"SUPERFICIE": true', 1.0), ('"SUPERFICIE": [5]', 0.0), ('"SUPERFICIE": " 6.5 "', 6.5),
+        ('"SUPERFICIE": null, "superficie": 7e1', 70.0), ('"SUPERFICIE": 1, "SUPERFICIE": 2', 2.0),
+    ]
+    features = ", ".join(f'{{"geometry": {{"type": "Point{i}", "coordinates": []}}, "properties": {{{text}}}}}' for i, (text, _) in enumerate(stated))
+    put(tmp_path / "a.json", f'{{"features": [{features}, {{"properties": null}}, {{}}]}}')
+    rows = per.normalize_mexico(read_mexico_perimeters(spark, str(tmp_path)).rows).collect()
+    got = {int(r["geometry"]["type"][5:]): r["hectares"] for r in rows if r["geometry"]}
+    assert got == {i: area for i, (_, area) in enumerate(stated)}
+    assert [(r["name"], r["hectares"], r["date_updated"]) for r in rows if not r["geometry"]] == [("Incendio Activo", 0.0, "")] * 2
+
+
+def test_second_spellings_of_texts_are_taken_as_they_stand(spark, tmp_path):
+    put(tmp_path / "a.json", '{"properties": {"FECHA": "", "fecha": null, "ESTADO": 0, "estado": 0, "MUNICIPIO": "m", "NOMBRE": 0, "nombre": [], "INCENDIO": 7}}')
+    row = per.normalize_mexico(read_mexico_perimeters(spark, str(tmp_path), lines=True).rows).first()
+    assert (row["date_updated"], row["state"], row["municipality"], row["name"]) == (None, "0", "m", "7")
 
 
 def written(spark, path):
