@@ -56,15 +56,15 @@ def run_weather(spark: SparkSession, landed: str, weather_out: str, fwi_out: str
 
 
 def run_perimeters(
-    spark: SparkSession, usa: str, mexico: str, out: str, as_of: dt.datetime, page: int | None = None, lines: bool = False
+    spark: SparkSession, usa: str, mexico: str, out: str, as_of: dt.datetime, page: int | None = None, lines: bool = False, split: bool = False
 ) -> dict[str, str]:
     """Perimeters of both agencies to one layer; returns what was wrong per agency, rejected documents included.
 
-    ``lines`` reads features landed one per line, which splits at any volume.
+    ``lines`` reads features landed one per line, ``split`` whole documents by many tasks each.
 
     ``page`` keeps the largest (USA) or first (Mexico) so many of each agency; by default all are kept.
     """
-    scans = {"USA": documents.read_usa_perimeters(spark, usa, lines), "Mexico": documents.read_mexico_perimeters(spark, mexico, lines)}
+    scans = {"USA": documents.read_usa_perimeters(spark, usa, lines, split), "Mexico": documents.read_mexico_perimeters(spark, mexico, lines, split)}
     north, south = per.normalize_usa(scans["USA"].rows), per.normalize_mexico(scans["Mexico"].rows)
     if page is not None:
         north, south = per.top_perimeters(north, "name", page), per.first_perimeters(south, "name", page)
@@ -74,10 +74,10 @@ def run_perimeters(
 
 
 def run_infrastructure(
-    spark: SparkSession, landed: str, out: str, as_of: dt.datetime, bbox: str = tables.INFRA_BBOX, lines: bool = False
+    spark: SparkSession, landed: str, out: str, as_of: dt.datetime, bbox: str = tables.INFRA_BBOX, lines: bool = False, split: bool = False
 ) -> str | None:
     """Map elements inside ``bbox`` to the infrastructure layer; returns what was wrong, rejected documents included."""
-    scan = documents.read_elements(spark, landed, lines)
+    scan = documents.read_elements(spark, landed, lines, split)
     found = problem(scan)
     if found and (scan.error or scan.rows.isEmpty()):
         write_empty_layer(spark, "infrastructure", found, _iso(as_of), out)

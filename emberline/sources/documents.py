@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from emberline.schemas import MEXICO_JSON_FEATURE, OSM_ELEMENT, USA_FEATURE, WEATHER_RESPONSE, collection_schema
 from emberline.sources.scan import Scan, isolated, nothing_parsed
+from emberline.sources.split_json import read_members
 
 Paths = str | list[str]
 
@@ -60,20 +61,36 @@ def _lines(spark: SparkSession, paths: Paths, item: T.StructType) -> Scan:
     return isolated(spark, item, read)
 
 
-def _read(spark: SparkSession, paths: Paths, item: T.StructType, items: str, lines: bool) -> Scan:
-    return _lines(spark, paths, item) if lines else _exploded(spark, paths, item, items)
+def _split(spark: SparkSession, paths: Paths, item: T.StructType, items: str) -> Scan:
+    """Array members of JSON documents of any size, each document read by many tasks."""
+
+    def read() -> Scan:
+        members, broken = read_members(spark, paths, items)
+        scan = parsed(members, item)
+        return Scan(scan.rows, rejects=scan.rejects.unionAll(broken))
+
+    return isolated(spark, item, read)
+
+
+def _read(spark: SparkSession, paths: Paths, item: T.StructType, items: str, lines: bool, split: bool) -> Scan:
+    if lines:
+        return _lines(spark, paths, item)
+    return (_split if split else _exploded)(spark, paths, item, items)
+
+
+# ``lines``: members landed one per line. ``split``: whole documents too large for one task.
 
 
-def read_usa_perimeters(spark: SparkSession, paths: Paths, lines: bool = False) -> Scan:
-    return _read(spark, paths, USA_FEATURE, "features", lines)
+def read_usa_perimeters(spark: SparkSession, paths: Paths, lines: bool = False, split: bool = False) -> Scan:
+    return _read(spark, paths, USA_FEATURE, "features", lines, split)
 
 
-def read_mexico_perimeters(spark: SparkSession, paths: Paths, lines: bool = False) -> Scan:
-    return _read(spark, paths, MEXICO_JSON_FEATURE, "features", lines)
+def read_mexico_perimeters(spark: SparkSession, paths: Paths, lines: bool = False, split: bool = False) -> Scan:
+    return _read(spark, paths, MEXICO_JSON_FEATURE, "features", lines, split)
 
 
-def read_elements(spark: SparkSession, paths: Paths, lines: bool = False) -> Scan:
-    return _read(spark, paths, OSM_ELEMENT, "elements", lines)
+def read_elements(spark: SparkSession, paths: Paths, lines: bool = False, split: bool = False) -> Scan:
+    return _read(spark, paths, OSM_ELEMENT, "elements", lines, split)
 
 
 __all__ = ["parsed", "read_elements", "read_mexico_perimeters", "read_usa_perimeters", "read_weather"]

@@ -79,14 +79,14 @@ def _readings(spark: SparkSession, pull: str, notes: list[str]) -> DataFrame:
 
 
 def _perimeters(spark: SparkSession, pull: str, notes: list[str]) -> DataFrame:
-    usa = _usable(documents.read_usa_perimeters(spark, f"{pull}/country=USA"), "USA", notes)
-    mexico = _usable(documents.read_mexico_perimeters(spark, f"{pull}/country=Mexico"), "Mexico", notes)
+    usa = _usable(documents.read_usa_perimeters(spark, f"{pull}/country=USA", split=True), "USA", notes)
+    mexico = _usable(documents.read_mexico_perimeters(spark, f"{pull}/country=Mexico", split=True), "Mexico", notes)
     parts = _some([None if usa is None else per.normalize_usa(usa), None if mexico is None else per.normalize_mexico(mexico)], notes)
     return parts[0] if len(parts) == 1 else per.unify(*parts)
 
 
 def _infrastructure(spark: SparkSession, pull: str, notes: list[str]) -> DataFrame:
-    rows = _some([_usable(documents.read_elements(spark, pull), "infrastructure", notes)], notes)[0]
+    rows = _some([_usable(documents.read_elements(spark, pull, split=True), "infrastructure", notes)], notes)[0]
     return within_bbox(infra.normalize(infra.has_any_tag(rows)), **infra.parse_bbox(tables.INFRA_BBOX))
 
 
