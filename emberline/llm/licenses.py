@@ -58,6 +58,7 @@ RULES = [
 #: Licences that forbid or bind commercial re-use of the text.
 RESTRICTED = ("GPL-3.0", "CC-BY-NC-4.0", "Proprietary")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SPDX_LINE = "spdx license identifier "
 RESULTS = ("sentence_ids", "licenses", "restricted")
 
 # What follows holds the sentences as the licences print them; names that vary are in braces and spelt out below.
@@ -185,7 +186,7 @@ ALL_RESTRICTED = (*RESTRICTED, *sorted({n for n, _ in ALL_RULES if n.startswith(
 def _ends_cut(text: Column) -> Column:
     """Words with single blanks; \x01 where a sentence ends for certain, \n where a line does."""
     lower = F.translate(F.coalesce(text, F.lit("")), UPPER + "\x01", LOWER + " ")
-    ended = F.regexp_replace(lower, r"[.!?]+[ \t\n\r]+(?:[^a-z0-9\n]*\n)*", "\x01")
+    ended = F.regexp_replace(lower, r"[.!?]+[ \t\n\r]+(?:[^a-z0-9\n]*+\n)*+", "\x01")
     marked = F.regexp_replace(ended, r"(?<![^\n\x01])[^a-z0-9\n\x01]*(?:[0-9]{1,2}|[a-z]|[ivx]{2,4})\)[ \t]+", "\x01")
     marked = F.regexp_replace(marked, r"(?<![^\n\x01])[ \t]*(?:rem|dnl)\b", "")
     plain = F.regexp_replace(marked, r"[^a-z0-9\n\x01]+", " ")
@@ -193,9 +194,15 @@ def _ends_cut(text: Column) -> Column:
     whole = F.regexp_replace(lines, r"\n*\x01[\n\x01]*|\n{2,}", "\x01")
     named = F.regexp_replace(whole, r"(?<![^\n\x01])(?:[a-z0-9]+[ \n]){1,8}?is free software([ \n])you can", "this program is free software$1you can")
     listed = F.regexp_replace(named, r"(?<![^\n\x01])neither the names? of (?:[a-z0-9]+[ \n]){1,16}?nor the names? of (?:[a-z0-9]+[ \n]){1,8}?may", "neither the name of the copyright holder nor the names of its contributors may")
-    for _ in range(3):  # SPDX expressions of up to four licences
-        listed = F.regexp_replace(listed, r"(?<![^\n\x01])(spdx license identifier [a-z0-9 ]+?) (?:or|and) (?!later)", "$1\x01spdx license identifier ")
-    return F.trim(listed)
+    listed = F.trim(listed)
+    return F.when(F.contains(listed, F.lit(SPDX_LINE)), _spdx_apart(listed)).otherwise(listed)
+
+
+def _spdx_apart(text: Column) -> Column:
+    """SPDX expressions, of any number of licences, as one sentence for each licence."""
+    pieces = F.split(text, r"(?<=[\n\x01])")  # each with the mark of its end
+    apart = lambda piece: F.regexp_replace(piece, r" (?:or|and) (?!later)", f"\x01{SPDX_LINE}")
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.startswith(SPDX_LINE), apart(p)).otherwise(p)), "")
 
 
 def _any_of(texts: list[list[str]]) -> str:
