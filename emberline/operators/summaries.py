@@ -160,7 +160,9 @@ def fwi_metadata(df: DataFrame, generated_at: str, step: float = tables.GRID_STE
 def perimeter_metadata(df: DataFrame, generated_at: str) -> DataFrame:
     from emberline.operators.perimeters import perimeter_totals
 
-    return _described("perimeters", generated_at, perimeter_totals(df))
+    sources = tables.METADATA_TEXT["perimeters"]
+    row = _described("perimeters", generated_at, perimeter_totals(df)).drop(*sources)
+    return row.withColumn("sources", _text_map({"USA": sources["source_usa"], "Mexico": sources["source_mexico"]}))
 
 
 def infrastructure_metadata(df: DataFrame, generated_at: str, bbox: str = tables.INFRA_BBOX) -> DataFrame:

@@ -296,7 +296,7 @@ def layer_metadata(spark: SparkSession, sf: str) -> DataFrame:
         ).alias("details"),
     )
     fires = summaries.perimeter_metadata(_perimeters(spark, sf), GENERATED_AT).select(
-        F.lit("perimeters").alias("layer"), "generated_at", F.concat_ws("; ", "source_usa", "source_mexico").alias("source"),
+        F.lit("perimeters").alias("layer"), "generated_at", F.concat_ws("; ", F.map_values("sources")).alias("source"),
         F.col("total_fires").alias("total"),
         F.expr(
             "concat('usa=', usa_fires, '|mexico=', mexico_fires, '|ha=', cast(total_hectares as decimal(30,1)))"

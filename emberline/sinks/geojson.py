@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.schemas import LAYER_PROPERTIES, POLYGON_LAYERS, layer_schema
+from emberline.sinks import versions
 
 # Rows per output file; a layer of any size is written as many files of about this length.
 ROWS_PER_FILE = 5_000_000
@@ -66,17 +67,31 @@ def write_metadata(row: DataFrame, path: str) -> None:
 
 
 def write_layer(
-    df: DataFrame, layer: str, describe: Callable[[DataFrame], DataFrame], path: str, partition_by: str | None = None
-) -> None:
-    """Write a layer completely: ``table`` (Parquet), ``features`` (GeoJSON lines), ``metadata``.
-
-    The table is written first; features and metadata (``describe`` of the table) are made from it, so
-    the layer is computed once. Metadata comes last: a layer that has it is complete.
+    df: DataFrame,
+    layer: str,
+    describe: Callable[[DataFrame], DataFrame],
+    path: str,
+    partition_by: str | None = None,
+    rejected: Callable[[], int] | None = None,
+    keep: int = versions.KEEP,
+) -> str:
+    """Write a layer as a new version: ``table`` (Parquet), ``features`` (GeoJSON lines), ``metadata``; returns its folder.
+
+    The table is written first; features and metadata (``describe`` of the table) are made from it, so the layer is
+    computed once, and its rows are counted while they are written. The manifest comes last: until it stands, readers
+    have the version before. ``rejected`` tells after the write how many records its sources rejected. The newest
+    ``keep`` versions stay.
     """
-    write_table(df, f"{path}/table", partition_by)
-    stored = df.sparkSession.read.schema(df.schema).parquet(f"{path}/table")
-    write_features(stored, layer, f"{path}/features")
-    write_metadata(describe(stored), f"{path}/metadata")
+    spark = df.sparkSession
+    number, folder = versions.begin(spark, path)
+    place, counted = f"{path}/versions/{folder}", Observation()
+    write_table(df.observe(counted, F.count("*").alias("rows")), f"{place}/table", partition_by)
+    stored = spark.read.schema(df.schema).parquet(f"{place}/table")
+    write_features(stored, layer, f"{place}/features")
+    write_metadata(describe(stored), f"{place}/metadata")
+    versions.commit(spark, path, number, folder, counted.get["rows"], rejected() if rejected else None)
+    versions.expire(spark, path, keep)
+    return place
 
 
 def write_empty_layer(spark: SparkSession, layer: str, error: str, generated_at: str, path: str) -> None:

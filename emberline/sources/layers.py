@@ -1,4 +1,4 @@
-"""Layers as written by the sinks, or as single GeoJSON documents."""
+"""Layers as written by the sinks (the version in force), or as single GeoJSON documents."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberline.schemas import LAYER_PROPERTIES, POLYGON_LAYERS, STRING, collection_schema, feature_schema, layer_schema, struct
+from emberline.sinks import versions
 from emberline.sources.scan import Scan, isolated, nothing_parsed
 
 
@@ -46,17 +47,17 @@ def read_features(spark: SparkSession, layer: str, paths: str | list[str]) -> Sc
 
 
 def read_layer(spark: SparkSession, layer: str, path: str) -> Scan:
-    """A layer from its Parquet twin under ``path``."""
-    return isolated(spark, layer_schema(layer), lambda: Scan(spark.read.parquet(f"{path}/table")))
+    """A layer from the Parquet twin of its version in force."""
+    return isolated(spark, layer_schema(layer), lambda: Scan(spark.read.parquet(f"{versions.current(spark, path)}/table")))
 
 
 def read_metadata(spark: SparkSession, path: str, document: bool = False) -> DataFrame:
-    """Metadata of a layer as one text map; nested values stay JSON text.
+    """Metadata of a layer's version in force as one text map; nested values stay JSON text.
 
     ``document`` reads the ``metadata`` member of a whole GeoJSON document instead of a written layer.
     """
     text_map = T.MapType(STRING, STRING)
     if document:
         return spark.read.schema(struct(metadata=text_map)).option("multiLine", True).json(path)
-    lines = spark.read.text(f"{path}/metadata")
+    lines = spark.read.text(f"{versions.current(spark, path)}/metadata")
     return lines.select(F.from_json("value", text_map).alias("metadata"))

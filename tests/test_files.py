@@ -8,6 +8,7 @@ import pytest
 from emberline.operators import perimeters as per
 from emberline.plans import jobs
 from emberline.schemas import ATTEMPTS, LAYER_NAMES, MODIS_COLUMNS, VIIRS_COLUMNS, layer_schema
+from emberline.sinks import versions
 from emberline.sinks.geojson import write_empty_layer
 from emberline.sources import layers
 from emberline.sources.detections import documented_columns, read_all, read_detections
@@ -144,7 +145,7 @@ def test_second_spellings_of_texts_are_taken_as_they_stand(spark, tmp_path):
 
 def written(spark, path):
     metadata = layers.read_metadata(spark, str(path)).first()["metadata"]
-    features = [json.loads(r["value"]) for r in spark.read.text(f"{path}/features").collect()]
+    features = [json.loads(r["value"]) for r in spark.read.text(f"{versions.current(spark, str(path))}/features").collect()]
     return metadata, features
 
 
@@ -159,7 +160,7 @@ def test_hotspot_job(spark, feeds, tmp_path):
     assert [f["geometry"] for f in features if f["properties"]["intensity"] == "low"] == [{"type": "Point", "coordinates": [60.0, 50.0]}]
     assert {f["properties"]["frp"] for f in features} == {250.0, None, 12.0, 5.0}
     assert layers.read_layer(spark, "hotspots", str(out)).rows.where("acq_date = date '2026-07-02'").count() == 4
-    again = layers.read_features(spark, "hotspots", f"{out}/features").rows
+    again = layers.read_features(spark, "hotspots", f"{versions.current(spark, str(out))}/features").rows
     assert again.schema == layer_schema("hotspots") and again.count() == 4
 
 
@@ -181,7 +182,7 @@ def test_weather_job(spark, documents, tmp_path):
     for lat, lon, *_, index, cls, trend in golden.CURRENT:
         assert (by_cell[lon, lat]["fwi"], by_cell[lon, lat]["trend"]) == (index, trend)
     assert {p["fetched_at"] for p in by_cell.values()} == {"2026-07-02T20:36:48.950077+00:00"}
-    restored = layers.read_features(spark, "fwi", f"{fwi}/features").rows
+    restored = layers.read_features(spark, "fwi", f"{versions.current(spark, str(fwi))}/features").rows
     assert restored.schema == layer_schema("fwi")
     assert restored.selectExpr("size(forecast) n", "fetched_at is not null f").distinct().collect() == [(5, True)]
 
@@ -194,7 +195,7 @@ def test_perimeter_job(spark, documents, tmp_path):
     assert float(metadata["total_hectares"]) == pytest.approx(404.7 + 4.2 + 0.0 + 12.5)
     shapes = {f["properties"]["name"]: f["geometry"] for f in features}
     assert shapes["Big"] == USA["features"][0]["geometry"] and shapes["Cerro"] is None
-    back = layers.read_features(spark, "perimeters", f"{out}/features").rows
+    back = layers.read_features(spark, "perimeters", f"{versions.current(spark, str(out))}/features").rows
     assert back.where("geometry.type = 'MultiPolygon'").count() == 1
     jobs.run_perimeters(spark, str(documents / "usa"), str(documents / "gone"), str(out), NOW, page=1)
     assert [f["properties"]["name"] for f in written(spark, out)[1]] == ["Big"]
