@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from emberline.functions import tables
 from emberline.functions.semantics import cell_id, equal_lookup, number_or_null, range_case, utc_literal, utc_naive
+from emberline.operators import cells
 from emberline.operators.skew import anti_join
 
 
@@ -131,6 +132,21 @@ def dedup_cross_sensor(
     return others.unionByName(anti_join(coarse, seen, keys, **skew).select(*df.columns))
 
 
+def dedup_by_tiles(df: DataFrame, keep: str = "VIIRS", drop: str = "MODIS", per_degree: int = 100, scope: str = "batch", **hot) -> DataFrame:
+    """The rows of :func:`dedup_cross_sensor` with what the fine sensor has seen as bitmaps.
+
+    For archives: a tile's cells are one row of 4 KB, however many detections there are, where the other way moves
+    every distinct cell. For a few cells scattered over the world the distinct cells are smaller.
+    """
+    if scope not in ("batch", "day"):
+        raise ValueError("scope must be 'batch' or 'day'")
+    by = [] if scope == "batch" else ["acq_date"]
+    number = cells.cell_number(F.col("lon"), F.col("lat"), per_degree)
+    seen = cells.cell_sets(df.where(F.col("source").contains(keep)), number, by)
+    others = df.where(~F.coalesce(F.col("source").contains(drop), F.lit(False)))
+    return others.unionByName(cells.outside(df.where(F.col("source").contains(drop)), number, seen, by, **hot))
+
+
 def count_by(df: DataFrame, column: str) -> DataFrame:
     """Rows per value, sorted by value."""
     return df.groupBy(column).agg(F.count("*").alias("n")).orderBy(column)
