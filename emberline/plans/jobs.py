@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.functions import tables
@@ -27,32 +27,36 @@ def _iso(as_of: dt.datetime) -> str:
 
 
 def run_hotspots(spark: SparkSession, root: str, out: str, as_of: dt.datetime, scope: str = "batch") -> dict[str, str]:
-    """Detections of all feeds under ``root`` to the hotspot layer at ``out``; returns errors per feed."""
-    raw, errors = detection_files.read_all(spark, root)
-    if len(errors) == len(tables.SENSORS):
-        write_empty_layer(spark, "hotspots", "; ".join(errors.values()), _iso(as_of), out)
-        return errors
+    """Detections of all feeds under ``root`` to the hotspot layer at ``out``; returns what was wrong per feed."""
+    scans = detection_files.read_feeds(spark, root)
+    wrong = {name: found for name, scan in scans.items() if (found := problem(scan))}
+    if all(scan.error for scan in scans.values()):
+        write_empty_layer(spark, "hotspots", "; ".join(wrong.values()), _iso(as_of), out)
+        return wrong
+    raw = det.union_sensors(*(scan.rows for scan in scans.values()))
     layer = det.dedup_cross_sensor(det.normalize(raw), scope=scope)
     write_layer(layer, "hotspots", lambda table: summaries.hotspot_metadata(table, _iso(as_of)), out, "acq_date")
-    return errors
+    return wrong
 
 
 def run_weather(spark: SparkSession, landed: str, weather_out: str, fwi_out: str, as_of: dt.datetime) -> str | None:
-    """Weather responses to the weather and fire danger layers; returns the error if nothing was read."""
-    scan = documents.read_weather(spark, landed)
+    """Weather responses to the weather and fire danger layers; returns what was wrong, rejected lines included."""
+    scan = documents.read_weather(spark, landed, keep_text=True)
     if scan.error:
         write_empty_layer(spark, "weather", scan.error, _iso(as_of), weather_out)
         write_empty_layer(spark, "fwi", scan.error, _iso(as_of), fwi_out)
         return scan.error
     # Parse the JSON once. What follows reads only the columns it needs, as often as it needs them.
-    write_table(use_all_cores(scan.rows), f"{fwi_out}/staged")
-    responses = spark.read.schema(scan.rows.schema).parquet(f"{fwi_out}/staged")
+    lost, counted = "_corrupt_record is not null and current is null", Observation()
+    write_table(use_all_cores(scan.rows).observe(counted, F.count_if(F.expr(lost)).alias("rejected")), f"{fwi_out}/staged")
+    responses = spark.read.schema(scan.rows.schema).parquet(f"{fwi_out}/staged").drop("_corrupt_record")
+    rejected = counted.get["rejected"]
     good, _ = wx.split_missing(responses)
     readings = wx.flatten_responses(good)
     counts = summaries.weather_metadata(responses, _iso(as_of))
-    write_layer(wx.weather_layer(readings), "weather", lambda _: counts, weather_out)
-    write_layer(wx.fwi_layer(readings), "fwi", lambda table: summaries.fwi_metadata(table, _iso(as_of)), fwi_out)
-    return None
+    write_layer(wx.weather_layer(readings), "weather", lambda _: counts, weather_out, rejected=lambda: rejected)
+    write_layer(wx.fwi_layer(readings), "fwi", lambda table: summaries.fwi_metadata(table, _iso(as_of)), fwi_out, rejected=lambda: rejected)
+    return f"{rejected} records do not parse" if rejected else None
 
 
 def run_perimeters(

@@ -13,16 +13,17 @@ from emberline.sources.split_json import read_members
 Paths = str | list[str]
 
 
-def read_weather(spark: SparkSession, paths: Paths) -> Scan:
+def read_weather(spark: SparkSession, paths: Paths, keep_text: bool = False) -> Scan:
     """Weather responses, one JSON document per line with ``lat``, ``lon`` and ``fetched_at`` attached.
 
-    A line that does not parse has no ``current`` and counts as an error further on.
+    A line that does not parse has no ``current`` and counts as an error further on. ``keep_text`` leaves its text in
+    ``_corrupt_record``, for jobs that count rejects in the pass that writes the rows.
     """
 
     def read() -> Scan:
         rows = spark.read.schema(WEATHER_RESPONSE).json(paths)
         broken = rows.where("_corrupt_record is not null and current is null").select("_corrupt_record")
-        return Scan(rows.drop("_corrupt_record"), rejects=broken)
+        return Scan(rows if keep_text else rows.drop("_corrupt_record"), rejects=broken)
 
     return isolated(spark, T.StructType([f for f in WEATHER_RESPONSE if f.name != "_corrupt_record"]), read)
 

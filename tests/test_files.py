@@ -65,6 +65,26 @@ def test_each_file_has_its_own_header(spark, tmp_path):
     assert sorted((r["latitude"], r["longitude"], r["frp"]) for r in rows) == [("1", "2", "3"), ("10", "20", "30"), ("11", "21", "31")]
 
 
+def test_files_without_a_header_are_reported_beside_good_ones(spark, feeds, tmp_path):
+    put(feeds / "source=VIIRS_SNPP_NRT" / "c.csv", "\nError: down\n1,2,the latitude\n")
+    put(feeds / "source=VIIRS_SNPP_NRT" / "d.csv", " \n\n")
+    scan = read_detections(spark, str(feeds / "source=VIIRS_SNPP_NRT"), "VIIRS_SNPP_NRT")
+    assert scan.error is None and scan.rows.count() == 4
+    assert [r["_corrupt_record"] for r in scan.rejects.collect()] == ["Error: down"]
+    put(feeds / "source=MODIS_NRT" / "a.csv", "Error: key\nretry")
+    wrong = jobs.run_hotspots(spark, str(feeds), str(tmp_path / "out"), NOW)
+    assert wrong == {"VIIRS_SNPP_NRT": "1 records do not parse", "MODIS_NRT": "MODIS_NRT: Error: key"}
+    assert written(spark, tmp_path / "out")[0]["total_hotspots"] == "3"
+
+
+def test_weather_job_tells_of_lines_that_do_not_parse(spark, tmp_path):
+    put(tmp_path / "w" / "a.json", "\n".join(json.dumps(r) for r in golden.responses()) + '\n{"lat": 1,\n{"lat": 1, "lon": 2}\n')
+    paths = str(tmp_path / "w"), str(tmp_path / "weather"), str(tmp_path / "fwi")
+    assert jobs.run_weather(spark, *paths, NOW) == "1 records do not parse"
+    assert written(spark, tmp_path / "weather")[0]["errors"] == "2"
+    assert [(r["rows"], r["rejected"]) for r in versions.manifests(spark, paths[1]).collect()] == [(8, 1)]
+
+
 @pytest.mark.parametrize("body, problem", [("", "no data"), ("  \n", "no data"), ("Error: Invalid MAP_KEY", "Error: Invalid MAP_KEY")])
 def test_failing_feed_is_isolated(spark, feeds, body, problem):
     for old in (feeds / "source=MODIS_NRT").iterdir():
