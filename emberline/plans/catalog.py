@@ -13,13 +13,14 @@ from emberline.functions.fire_weather import with_fwi
 from emberline.operators import detections as det
 from emberline.operators import infrastructure as infra
 from emberline.operators import perimeters as per
-from emberline.operators import positions, status, summaries, views
+from emberline.operators import positions, ranges, shapes, status, summaries, views
 from emberline.operators import weather as wx
 from emberline.operators.space import within_bbox
 from emberline.plans import standins
-from emberline.schemas import MEXICO_JSON_FEATURE, USA_FEATURE
+from emberline.schemas import MEXICO_JSON_FEATURE, USA_FEATURE, WEATHER_ITEM, feature_schema
 from emberline.sinks.geojson import feature_text
 from emberline.sources.documents import parsed
+from emberline.sources.layers import flat
 
 AS_OF = dt.datetime(2024, 1, 31)
 GENERATED_AT = "2024-01-31T00:00:00+00:00"
@@ -72,6 +73,21 @@ def hotspot_dedup_daily(spark: SparkSession, sf: str) -> DataFrame:
     return deduped.select("event_id", "source", "acq_datetime")
 
 
+def hotspot_dedup_tiles(spark: SparkSession, sf: str) -> DataFrame:
+    """The same detections as ``hotspot_dedup``, by bitmaps of the cells seen."""
+    return det.dedup_by_tiles(_hotspots(spark, sf)).select("event_id", "lon", "lat", "source", "frp", "intensity")
+
+
+def hotspot_dedup_tiles_daily(spark: SparkSession, sf: str) -> DataFrame:
+    return det.dedup_by_tiles(_hotspots(spark, sf), scope="day").select("event_id", "source", "acq_datetime")
+
+
+def frp_band_rangejoin(spark: SparkSession, sf: str) -> DataFrame:
+    """Each detection with the first of the power bands that holds its power; bands overlap and leave gaps."""
+    bands = standins.power_bands(spark, sf)
+    return ranges.first_match(_hotspots(spark, sf).select("event_id", "frp"), bands, "event_id", "frp", "band")
+
+
 def hotspot_by_intensity(spark: SparkSession, sf: str) -> DataFrame:
     return det.count_by(_deduped(spark, sf), "intensity")
 
@@ -183,16 +199,44 @@ def perimeters_unified(spark: SparkSession, sf: str) -> DataFrame:
     return _perimeters(spark, sf).drop("geometry")
 
 
-def perimeter_parse(spark: SparkSession, sf: str) -> DataFrame:
-    """Both agencies' features from the JSON texts as they land: values typed, missing, empty and of the wrong kind."""
+def _parsed_perimeters(spark: SparkSession, sf: str) -> DataFrame:
     usa = per.normalize_usa(parsed(standins.usa_lines(spark, sf), USA_FEATURE).rows, keep=["id"])
     mexico = per.normalize_mexico(parsed(standins.mexico_lines(spark, sf), MEXICO_JSON_FEATURE).rows, keep=["id"])
-    return per.unify(usa, mexico).select(
+    return per.unify(usa, mexico)
+
+
+def perimeter_parse(spark: SparkSession, sf: str) -> DataFrame:
+    """Both agencies' features from the JSON texts as they land: values typed, missing, empty and of the wrong kind."""
+    return _parsed_perimeters(spark, sf).select(
         "id", "country", "name", "acres", "hectares", "date_created", "date_updated", "category", "state", "municipality",
         F.col("geometry.type").alias("shape"), F.col("geometry.coordinates").alias("coordinates"),
     )
 
 
+def layer_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """The perimeter layer written as GeoJSON features and read back, with the envelope of each shape."""
+    layer = _parsed_perimeters(spark, sf)
+    lines = layer.select("id", feature_text(layer, "perimeters").alias("value"))
+    back = flat(parsed(lines, feature_schema("perimeters")).rows, "perimeters", keep=["id"])
+    return shapes.with_envelope(back).select(
+        "id", "country", "name", "acres", "hectares", "date_updated", "state", F.col("geometry.type").alias("shape"),
+        F.col("geometry.coordinates").alias("coordinates"), "n_vertices", "west", "south", "east", "north",
+    )
+
+
+def perimeter_in_view(spark: SparkSession, sf: str) -> DataFrame:
+    """Perimeters whose envelope meets a box."""
+    placed = shapes.with_envelope(_parsed_perimeters(spark, sf))
+    return shapes.touching_bbox(placed, 40.0, -5.5, 50.0, 0.0).select("id", "country", "west", "south", "east", "north")
+
+
+def weather_parse(spark: SparkSession, sf: str) -> DataFrame:
+    """The weather layer from the JSON texts of the responses, some of them cut short or without current readings."""
+    lines = standins.weather_lines(spark, sf)
+    good, _ = wx.split_missing(parsed(lines, WEATHER_ITEM).rows)
+    return wx.weather_layer(wx.flatten_responses(good, keep=["point_id"]), keep=["point_id"])
+
+
 def perimeter_top200(spark: SparkSession, sf: str) -> DataFrame:
     usa = per.normalize_usa(standins.usa_features(spark, sf), keep=["id"])
     return per.top_perimeters(usa, "id").select("id", "name", "acres", "hectares")
@@ -324,10 +368,10 @@ def geojson_features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _QUERIES = [
-    hotspot_normalize, hotspot_dedup, hotspot_dedup_daily, hotspot_by_intensity, hotspot_lookback, hotspot_world,
+    hotspot_normalize, hotspot_dedup, hotspot_dedup_daily, hotspot_dedup_tiles, hotspot_dedup_tiles_daily, frp_band_rangejoin, hotspot_by_intensity, hotspot_lookback, hotspot_world,
     hotspot_map_view, hotspot_decimate, fwi_components, fwi_now, fwi_class_rangejoin, fwi_forecast, fwi_trend,
     fwi_layer, fwi_rejected, weather_layer, grid_points, grid_weather_join, fwi_map_view, max_fwi_zone,
-    prefire_summary, perimeters_unified, perimeter_parse, perimeter_top200, perimeter_first200, perimeter_totals,
+    prefire_summary, perimeters_unified, perimeter_parse, layer_roundtrip, perimeter_in_view, weather_parse, perimeter_top200, perimeter_first200, perimeter_totals,
     perimeter_by_country, perimeter_map_view, largest_fire, largest_fire_card, infra_normalize, infra_by_type,
     infra_type_map, infra_viewport, infra_bbox, infra_map_view, active_fire_summary, layer_last_good,
     layer_freshness, layer_errors, layer_status_flags, layer_metadata, place_label, geojson_features,

@@ -103,6 +103,13 @@ select id, country, "name", acres, round(coalesce(acres,0e0)*0.404686e0,1) hecta
 union all
 select id, country, "name", round(ha*2.47105e0,1), round(ha,1), date_created, date_updated, category, state, municipality, shape, coordinates from mexico"""
 
+#: The same with the envelopes of the shapes.
+ENVELOPES = f"""with parsed as ({PARSED}), placed as (select *, cast(id%90 as double) x from parsed)
+select id, country, "name", acres, hectares, date_updated, state, shape, coordinates,
+  cast(case id%4 when 0 then 0 when 1 then 8 else 4 end as bigint) n_vertices, case when id%4<>0 then least(x,2.5e0) end west,
+  case when id%4=1 then 1e0 when id%4>1 then -5.5e0 end south, case when id%4=1 then greatest(x,9e0) when id%4>1 then greatest(x,4e0) end east,
+  case when id%4=1 then 9e0 when id%4>1 then 3e0 end north from placed"""
+
 PERIM = f"""{WFIGS_RAW}, {CONAFOR_RAW},
 usa as (select id, coalesce(incident_name,'Unknown Fire') as name, gis_acres acres,
     round(coalesce(gis_acres,0e0)*0.404686e0,1) hectares, create_date date_created, update_date date_updated,
@@ -168,6 +175,9 @@ ORACLES = {
     "hotspot_dedup": f"{_with(HOT)} select event_id, lon, lat, source, frp, intensity from deduped",
     "hotspot_dedup_daily": f"""{_with(HOT)} select event_id, source, acq_datetime from hot m where source like '%VIIRS%' or not exists (
         select 1 from hot v where v.source like '%VIIRS%' and v.kx = m.kx and v.ky = m.ky and v.acq_date = m.acq_date)""",
+    "hotspot_dedup_tiles": f"{_with(HOT)} select event_id, lon, lat, source, frp, intensity from deduped",
+    "hotspot_dedup_tiles_daily": f"""{_with(HOT)} select event_id, source, acq_datetime from hot m where source like '%VIIRS%' or not exists (
+        select 1 from hot v where v.source like '%VIIRS%' and v.kx = m.kx and v.ky = m.ky and v.acq_date = m.acq_date)""",
     "hotspot_by_intensity": f"{_with(HOT)} select intensity, count(*) n from deduped group by intensity order by intensity",
     "hotspot_lookback": f"""{_with(HOT)} select event_id, source, intensity, acq_datetime from hot
         where acq_ts > timestamp '2024-01-30 00:00:00' and acq_ts <= timestamp '2024-01-31 00:00:00'""",
@@ -229,6 +239,14 @@ ORACLES = {
             else 'Current fire weather conditions are within manageable range.' end alert from counted""",
     "perimeters_unified": f"{_with(PERIM)} select * from perim",
     "perimeter_parse": PARSED,
+    "layer_roundtrip": ENVELOPES,
+    "perimeter_in_view": f"""select id, country, west, south, east, north from ({ENVELOPES}) t
+        where west <= 50 and east >= 40 and south <= 0 and north >= -5.5e0""",
+    "weather_parse": f"""{_with(WX_RAW)} select point_id, lon, lat, temp_c, rh_pct, wind_kmh, wind_dir_deg, rain_mm, fetched_at
+        from wx_raw where point_id % 101 <> 0 and point_id % 103 <> 0""",
+    "frp_band_rangejoin": f"""{_with(HOT + ', ' + _cte("bands", standins.POWER_BANDS))}
+        select event_id, frp, band, low, high from hot left join bands on frp >= low and frp < high
+        qualify row_number() over (partition by event_id order by band) = 1""",
     "perimeter_top200": f"{_with(PERIM)} select id, name, acres, hectares from usa order by acres desc nulls last, id limit 200",
     "perimeter_first200": f"{_with(PERIM)} select id, name, acres, hectares from mexico order by id limit 200",
     "perimeter_totals": f"""{_with(PERIM)} select count(*) total_fires, cast(sum(cast(hectares as decimal(20,1))) as double) total_hectares,

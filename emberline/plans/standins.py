@@ -82,6 +82,12 @@ select s_suppkey id, {_SHAPE.replace('$id', 's_suppkey')} || ',"properties":{{{{
 from {{supplier}}
 """
 
+POWER_BANDS = """
+select s_suppkey band, cast((s_suppkey*37)%150 as double)*4e0 low,
+  cast((s_suppkey*37)%150 as double)*4e0 + cast((s_suppkey%6)*(s_suppkey%5)*3 as double) high
+from {supplier} where s_suppkey%10 < 7
+"""
+
 OSM_RAW = """
 select c_custkey id,
   case when c_custkey%10=0 then 'relation' when c_custkey%10<5 then 'way' else 'node' end el_type,
@@ -161,6 +167,18 @@ def responses_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def weather_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``point_id`` and the response as JSON text ``value``, every 103rd cut short."""
+    fields = "struct(lat, lon, date_format(fetched_at, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'\") as fetched_at, current, daily)"
+    return responses_with_gaps(spark, sf_dir).selectExpr("point_id", f"to_json({fields}) as whole").selectExpr(
+        "point_id", "if(point_id % 103 = 0, substring(whole, 1, 20), whole) as value"
+    )
+
+
+def power_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, POWER_BANDS, "supplier")
+
+
 NO_SHAPE = "cast(null as struct<type: string, coordinates: string>) as geometry"
 
 

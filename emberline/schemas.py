@@ -44,6 +44,8 @@ WEATHER_RESPONSE = struct(
     _corrupt_record=STRING,
 )
 
+WEATHER_ITEM = T.StructType([field for field in WEATHER_RESPONSE if field.name != "_corrupt_record"])
+
 # Coordinates stay raw JSON text: polygons and multipolygons nest to different depths.
 SHAPE = struct(type=STRING, coordinates=STRING)
 POINT = struct(type=STRING, coordinates=T.ArrayType(DOUBLE))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from emberline.operators.space import morton_order
 from emberline.schemas import LAYER_PROPERTIES, POLYGON_LAYERS, layer_schema
 from emberline.sinks import versions
 
@@ -49,12 +50,11 @@ def write_table(df: DataFrame, path: str, partition_by: str | None = None) -> No
     """Replace the Parquet twin at ``path``.
 
     A partitioned table is rebalanced on its partition column, which splits large partitions and joins
-    small ones; rows are then sorted by one-degree cell, so that bounding boxes skip row groups.
+    small ones; rows are then sorted along a Morton curve, so that bounding boxes skip row groups in both directions.
     """
     out = df.hint("rebalance", partition_by) if partition_by else df
     if {"lon", "lat"} <= set(df.columns):
-        order = [F.floor("lat"), F.floor("lon")]
-        out = out.sortWithinPartitions(*([partition_by] if partition_by else []), *order)
+        out = out.sortWithinPartitions(*([partition_by] if partition_by else []), morton_order("lon", "lat"))
     writer = out.write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE).option("partitionOverwriteMode", "static")
     if partition_by:
         writer = writer.partitionBy(partition_by)

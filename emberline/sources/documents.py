@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberline.schemas import MEXICO_JSON_FEATURE, OSM_ELEMENT, USA_FEATURE, WEATHER_RESPONSE, collection_schema
+from emberline.schemas import MEXICO_JSON_FEATURE, OSM_ELEMENT, USA_FEATURE, WEATHER_ITEM, WEATHER_RESPONSE, collection_schema
 from emberline.sources.scan import Scan, isolated, nothing_parsed
 from emberline.sources.split_json import read_members
 
@@ -25,7 +25,7 @@ def read_weather(spark: SparkSession, paths: Paths, keep_text: bool = False) ->
         broken = rows.where("_corrupt_record is not null and current is null").select("_corrupt_record")
         return Scan(rows if keep_text else rows.drop("_corrupt_record"), rejects=broken)
 
-    return isolated(spark, T.StructType([f for f in WEATHER_RESPONSE if f.name != "_corrupt_record"]), read)
+    return isolated(spark, WEATHER_ITEM, read)
 
 
 def _exploded(spark: SparkSession, paths: Paths, item: T.StructType, items: str) -> Scan:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,14 +13,15 @@ from emberline.sinks import versions
 from emberline.sources.scan import Scan, isolated, nothing_parsed
 
 
-def _flat(features: DataFrame, layer: str) -> DataFrame:
+def flat(features: DataFrame, layer: str, keep: Iterable[str] = ()) -> DataFrame:
+    """Parsed features as the flat table of ``layer``, beside the columns ``keep``."""
     if layer in POLYGON_LAYERS:
         place = [F.col("geometry")]
     else:
         place = [F.get("geometry.coordinates", i).alias(name) for i, name in ((0, "lon"), (1, "lat"))]
     taken = {"geometry"} if layer in POLYGON_LAYERS else {"lon", "lat"}
     rest = [F.col(f"properties.{n}").alias(n) for n in LAYER_PROPERTIES[layer].fieldNames() if n not in taken]
-    return features.select(*place, *rest)
+    return features.select(*keep, *place, *rest)
 
 
 def read_collection(spark: SparkSession, layer: str, paths: str | list[str]) -> Scan:
@@ -28,7 +31,7 @@ def read_collection(spark: SparkSession, layer: str, paths: str | list[str]) ->
         documents = spark.read.schema(collection_schema(feature_schema(layer))).option("multiLine", True).json(paths)
         broken = documents.where("_corrupt_record is not null and features is null").select("_corrupt_record")
         features = documents.select(F.explode_outer("features").alias("_f")).where("_f is not null").select("_f.*")
-        return Scan(_flat(features, layer), rejects=broken)
+        return Scan(flat(features, layer), rejects=broken)
 
     return isolated(spark, layer_schema(layer), read)
 
@@ -41,7 +44,7 @@ def read_features(spark: SparkSession, layer: str, paths: str | list[str]) -> Sc
         rows = spark.read.schema(schema).json(paths)
         lost = nothing_parsed(feature_schema(layer))
         broken = rows.where(lost).select("_corrupt_record")
-        return Scan(_flat(rows.where(~lost), layer), rejects=broken)
+        return Scan(flat(rows.where(~lost), layer), rejects=broken)
 
     return isolated(spark, layer_schema(layer), read)
 
