@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from emberline.functions import tables
 from emberline.functions.semantics import grouped, whole
-from emberline.operators.perimeters import total_hectares
 
 
 def _merge_rows(*rows: DataFrame) -> DataFrame:
@@ -37,25 +36,50 @@ def situation_text(detections: Column, extreme: Column, perimeters: Column, hect
     )
 
 
-def active_fire_summary(hotspots: DataFrame, perimeters: DataFrame, *ids: str, loading: bool = False) -> DataFrame:
-    """Counts, burned area, largest fire and the situation sentence, in one row.
-
-    ``ids`` are perimeter columns that break ties for the largest fire.
-    """
-    hot = hotspots.agg(
+def detection_sums() -> list[Column]:
+    """What the active fire panel needs of detections; sums of such rows are again such a row."""
+    return [
         F.count("*").alias("total_detections"),
         F.count_if(F.col("intensity") == "extreme").alias("extreme_detections"),
         F.count_if(F.col("intensity") == "high").alias("high_detections"),
-    )
-    burning = F.col("hectares") > 0
-    order = F.struct((-F.col("hectares")).alias("_size"), *ids)
-    largest = F.min_by(F.struct("name", "hectares", "country", "source"), F.when(burning, order))
-    fires = perimeters.agg(
+    ]
+
+
+def perimeter_sums(*ids: str) -> list[Column]:
+    """What the panel needs of perimeters: their number, areas as decimals, and the largest fire with its rank."""
+    rank = F.when(F.col("hectares") > 0, F.struct((-F.col("hectares")).alias("_size"), *ids))
+    return [
         F.count("*").alias("total_perimeters"),
-        total_hectares(F.col("hectares")).alias("total_hectares"),
-        largest.alias("_largest"),
+        F.sum(F.col("hectares").cast("decimal(20,1)")).alias("_hectares"),
+        F.min_by(F.struct("name", "hectares", "country", "source"), rank).alias("_largest"),
+        F.min(rank).alias("_rank"),
+    ]
+
+
+def merged_sums(detections: DataFrame, perimeters: DataFrame) -> DataFrame:
+    """Rows of :func:`detection_sums` and :func:`perimeter_sums`, of any parts in any order, as one row of both."""
+    names = ("total_detections", "extreme_detections", "high_detections")
+    hot = detections.agg(*[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in names])
+    fires = perimeters.agg(
+        F.coalesce(F.sum("total_perimeters"), F.lit(0)).alias("total_perimeters"),
+        F.coalesce(F.sum("_hectares"), F.lit(0)).cast("double").alias("total_hectares"),
+        F.min_by("_largest", "_rank").alias("_largest"),
     )
-    row = _merge_rows(hot, fires)
+    return _merge_rows(hot, fires)
+
+
+def active_fire_summary(hotspots: DataFrame, perimeters: DataFrame, *ids: str, loading: bool = False) -> DataFrame:
+    """Counts, burned area, largest fire and the situation sentence, in one row.
+
+    ``ids`` are perimeter columns that break ties for the largest fire.
+    """
+    number, area, largest, _ = perimeter_sums(*ids)
+    fires = perimeters.agg(number, area, largest).withColumn("total_hectares", F.coalesce("_hectares", F.lit(0)).cast("double")).drop("_hectares")
+    return active_fire_panel(_merge_rows(hotspots.agg(*detection_sums()), fires), loading)
+
+
+def active_fire_panel(row: DataFrame, loading: bool = False) -> DataFrame:
+    """The panel of one row of sums."""
     total = F.col("total_hectares")
     top = F.col("_largest")
     return row.select(

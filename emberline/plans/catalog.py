@@ -301,6 +301,13 @@ def active_fire_summary(spark: SparkSession, sf: str) -> DataFrame:
     return summaries.active_fire_summary(_deduped(spark, sf), _perimeters(spark, sf), "id")
 
 
+def active_fire_from_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """The same panel merged from the sums of each day's detections and each country's perimeters."""
+    days = _deduped(spark, sf).groupBy("acq_date").agg(*summaries.detection_sums())
+    countries = _perimeters(spark, sf).groupBy("country").agg(*summaries.perimeter_sums("id"))
+    return summaries.active_fire_panel(summaries.merged_sums(days, countries))
+
+
 def layer_last_good(spark: SparkSession, sf: str) -> DataFrame:
     return _status(spark, sf)
 
@@ -373,7 +380,7 @@ _QUERIES = [
     fwi_layer, fwi_rejected, weather_layer, grid_points, grid_weather_join, fwi_map_view, max_fwi_zone,
     prefire_summary, perimeters_unified, perimeter_parse, layer_roundtrip, perimeter_in_view, weather_parse, perimeter_top200, perimeter_first200, perimeter_totals,
     perimeter_by_country, perimeter_map_view, largest_fire, largest_fire_card, infra_normalize, infra_by_type,
-    infra_type_map, infra_viewport, infra_bbox, infra_map_view, active_fire_summary, layer_last_good,
+    infra_type_map, infra_viewport, infra_bbox, infra_map_view, active_fire_summary, active_fire_from_parts, layer_last_good,
     layer_freshness, layer_errors, layer_status_flags, layer_metadata, place_label, geojson_features,
 ]
 

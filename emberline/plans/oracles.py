@@ -322,5 +322,8 @@ ORACLES = {
 }
 
 
+ORACLES["active_fire_from_parts"] = ORACLES["active_fire_summary"]
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
