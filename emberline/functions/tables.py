@@ -162,3 +162,20 @@ METADATA_TEXT = {
 }
 USA_SOURCE = ("USA", "NIFC WFIGS", "https://data-nifc.opendata.arcgis.com/")
 MEXICO_SOURCE = ("Mexico", "CONAFOR", "https://snigf.cnf.gob.mx/")
+
+# Sentences of the panels; braces take a count or an area.
+SITUATION_TEXT = {
+    "loading": "Loading fire detection data...",
+    "none": "No active fire detections in current view.",
+    "detections": "{} active fire detections globally. ",
+    "extreme": "{} extreme-intensity detections require immediate attention. ",
+    "perimeters": "{} active fire perimeters covering {} ha.",
+}
+ALERT_TEXT = {
+    "loading": "Computing FWI...",
+    "extreme": "{} zone(s) at EXTREME fire danger. ",
+    "escalating": "{} zone(s) escalating. ",
+    "advice": "Consider pre-positioning resources.",
+    "very_high": "{} zone(s) at VERY HIGH fire danger. Monitor conditions closely.",
+    "calm": "Current fire weather conditions are within manageable range.",
+}

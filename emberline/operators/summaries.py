@@ -17,22 +17,21 @@ def _merge_rows(*rows: DataFrame) -> DataFrame:
     return head.agg(*[F.max(name).alias(name) for name in head.columns])
 
 
+def _filled(sentence: str, *values: Column) -> Column:
+    """``sentence`` with each pair of braces filled by a text."""
+    first, *rest = sentence.split("{}")
+    return F.concat(F.lit(first), *[part for value, text in zip(values, rest) for part in (value, F.lit(text))])
+
+
 def situation_text(detections: Column, extreme: Column, perimeters: Column, hectares: Column, loading: Column) -> Column:
     """The sentence above the active fire panel."""
-    urgent = F.when(
-        extreme > 0,
-        F.concat(extreme.cast("string"), F.lit(" extreme-intensity detections require immediate attention. ")),
-    ).otherwise("")
-    area = F.when(
-        perimeters > 0,
-        F.concat(
-            perimeters.cast("string"), F.lit(" active fire perimeters covering "), grouped(whole(hectares)), F.lit(" ha.")
-        ),
-    ).otherwise("")
+    said = tables.SITUATION_TEXT
+    urgent = F.when(extreme > 0, _filled(said["extreme"], extreme.cast("string"))).otherwise("")
+    area = F.when(perimeters > 0, _filled(said["perimeters"], perimeters.cast("string"), grouped(whole(hectares)))).otherwise("")
     return (
-        F.when(loading, "Loading fire detection data...")
-        .when(detections == 0, "No active fire detections in current view.")
-        .otherwise(F.concat(grouped(detections), F.lit(" active fire detections globally. "), urgent, area))
+        F.when(loading, said["loading"])
+        .when(detections == 0, said["none"])
+        .otherwise(F.concat(_filled(said["detections"], grouped(detections)), urgent, area))
     )
 
 
@@ -102,23 +101,13 @@ def active_fire_panel(row: DataFrame, loading: bool = False) -> DataFrame:
 
 def alert_text(extreme: Column, very_high: Column, escalating: Column, loading: Column) -> Column:
     """The forecast alert sentence."""
-    rising = F.when(escalating > 0, F.concat(escalating.cast("string"), F.lit(" zone(s) escalating. "))).otherwise("")
+    said = tables.ALERT_TEXT
+    rising = F.when(escalating > 0, _filled(said["escalating"], escalating.cast("string"))).otherwise("")
     return (
-        F.when(loading, "Computing FWI...")
-        .when(
-            extreme > 0,
-            F.concat(
-                extreme.cast("string"),
-                F.lit(" zone(s) at EXTREME fire danger. "),
-                rising,
-                F.lit("Consider pre-positioning resources."),
-            ),
-        )
-        .when(
-            very_high > 0,
-            F.concat(very_high.cast("string"), F.lit(" zone(s) at VERY HIGH fire danger. Monitor conditions closely.")),
-        )
-        .otherwise("Current fire weather conditions are within manageable range.")
+        F.when(loading, said["loading"])
+        .when(extreme > 0, F.concat(_filled(said["extreme"], extreme.cast("string")), rising, F.lit(said["advice"])))
+        .when(very_high > 0, _filled(said["very_high"], very_high.cast("string")))
+        .otherwise(said["calm"])
     )
 
 

@@ -1,5 +1,6 @@
 """Published fire danger rows: readings, index, class and trend of one run."""
 
+# The published rows as they are.
 # lat, lon, temperature, humidity, wind, rain, index, class, trend
 CURRENT = [
     (14.0, -118.0, 28.5, 76.0, 16.0, 0.0, 9.9, "moderate", "steady"),
