@@ -195,7 +195,8 @@ def _ends_cut(text: Column) -> Column:
     named = F.regexp_replace(whole, r"(?<![^\n\x01])(?:[a-z0-9]+[ \n]){1,8}?is free software([ \n])you can", "this program is free software$1you can")
     listed = F.regexp_replace(named, r"(?<![^\n\x01])neither the names? of (?:[a-z0-9]+[ \n]){1,16}?nor the names? of (?:[a-z0-9]+[ \n]){1,8}?may", "neither the name of the copyright holder nor the names of its contributors may")
     listed = F.trim(listed)
-    return F.when(F.contains(listed, F.lit(SPDX_LINE)), _spdx_apart(listed)).otherwise(listed)
+    # asked of the raw text, so that the steps above are taken once
+    return F.when(F.contains(lower, F.lit("spdx")), _spdx_apart(listed)).otherwise(listed)
 
 
 def _spdx_apart(text: Column) -> Column:
