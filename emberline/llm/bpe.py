@@ -209,7 +209,7 @@ class WordPairs:
 class Encoder:
     """Encodes many texts; keeps the ids of up to ``keep`` distinct chunks, of the newest batch in any case."""
 
-    def __init__(self, pairs: WordPairs, keep: int = 700_000):
+    def __init__(self, pairs: WordPairs, keep: int = 200_000):
         self.pairs, self.keep = pairs, keep
         self.known: dict[str | int, bytes] = {i: i.to_bytes(4, "little") for i in pairs.added.values()}
 

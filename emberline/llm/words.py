@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one numpy pass takes; a longer text makes a pass of its own.
-PASS_BYTES = 6_000_000
+PASS_BYTES = 1 << 20  # of texts at a time: what is held of a pass is some 25 times its bytes
 
 _U = np.uint64
 _MUL = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9), _U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F))
