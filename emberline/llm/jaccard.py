@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .staging import settle
+from .staging import settle, staged
 
 SIZE, SHARE = 5, 80  # words in a shingle, least similarity in hundredths
 HOT = 1 << 62
@@ -257,7 +257,7 @@ def _pairs(pairs: DataFrame) -> DataFrame:
 def link_components(docs: DataFrame, share: int = SHARE, pivot_rounds: int = 6, block: int = 512) -> DataFrame:
     """doc_id, text_key, node, n_shingles and component_id for every row of ``docs`` (doc_id, text)."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = settle(prefixes(docs, frequent(docs)))
+    own = staged(prefixes(docs, frequent(docs)), "prefixes")
     # copies of one set become one row, that of the least id
     real = lambda c: F.when(F.col(c) != _NULL_ID, F.col(c))
     nodes = settle(own.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min(real("doc_id")).alias("least_id")))
@@ -266,7 +266,7 @@ def link_components(docs: DataFrame, share: int = SHARE, pivot_rounds: int = 6,
     postings = postings.select("key", "node", "n", F.col("at").cast("bigint").alias("at"))
     salt = F.when(F.col("key") >= HOT, F.pmod(F.xxhash64("node"), F.lit(parts))).otherwise(0)
     sorted_ = postings.repartition("key", salt).sortWithinPartitions("key", "node")
-    streamed = settle(sorted_.mapInArrow(_columns, "a bigint, b bigint, key bigint, node bigint, n bigint, at bigint, is_pair boolean"))
+    streamed = staged(sorted_.mapInArrow(_columns, "a bigint, b bigint, key bigint, node bigint, n bigint, at bigint, is_pair boolean"), "columns")
     rest = streamed.filter("not is_pair").select("key", "node", "n", "at")
     tried = [settle(_pairs(streamed.filter("is_pair")))]
     links = [_links(docs, own, nodes, tried[0], share)]
