@@ -167,12 +167,20 @@ def match_shard(block: Block, found: np.ndarray, texts: np.ndarray) -> tuple[np.
     same, _ = _compare(block.items, block.suffixes[windows[some]], text, order[low[some]], block.windows[windows[some]])
     windows, low = windows[some][same == block.windows[windows[some]]], low[some][same == block.windows[windows[some]]]
     high = _search(block, text, order, block.suffixes[windows], block.windows[windows], True)
-    counts = high - low
+    # windows of one text have one range of places: each text is written out once, whatever the number of its items
+    same_text, first, of_text = np.unique(np.stack([low, block.windows[windows]], axis=1), axis=0, return_index=True, return_inverse=True)
+    low, counts = same_text[:, 0], (high - low)[first]
     places = order[np.repeat(low, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)]
     hit_starts = source[places]
-    hit_ends = hit_starts + np.repeat(block.windows[windows], counts)
+    hit_ends = hit_starts + np.repeat(same_text[:, 1], counts)
     row = np.searchsorted(texts, hit_starts, side="right") - 1
-    pairs = np.unique(np.stack([row, np.repeat(block.of[windows], counts)], axis=1), axis=0)
+    in_rows = np.unique(np.stack([np.repeat(np.arange(len(low)), counts), row], axis=1), axis=0)
+    in_items = np.unique(np.stack([of_text.ravel(), block.of[windows]], axis=1), axis=0)
+    items = np.bincount(in_items[:, 0], minlength=len(low))
+    many = items[in_rows[:, 0]]
+    within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    item = in_items[np.repeat((np.cumsum(items) - items)[in_rows[:, 0]], many) + within, 1]
+    pairs = np.unique(np.stack([np.repeat(in_rows[:, 1], many), item], axis=1), axis=0)
     # longest verbatim match of every suffix: the better neighbour of its place
     longest: dict[int, tuple[int, str, int]] = {}
     place = _search(block, text, order, block.suffixes, block.lengths, False)
