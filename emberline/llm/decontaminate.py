@@ -8,7 +8,7 @@ gives all its occurrences, the neighbours of the whole suffix's place give the l
 it lies. Words are compared as 64-bit hashes of their bytes.
 
 The benchmark is taken in blocks of at most ``block_words`` words, so what is broadcast and searched at once is
-bounded; with more than one block the documents are passed over once per block and settled in between.
+bounded; with more than one block the documents are passed over once per block and written in between.
 
 A window is 13 consecutive words of an item; an item of fewer words, but not none, is one window. Defined cases:
 a null text has no words, an item without words matches nothing, repeated item ids count once per id, equal rows
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words
-from .staging import settle
+from .staging import set_aside, staged
 
 WINDOW = 13
 RESULTS = ("n_words", "n_hit", "item_ids", "longest_match", "longest_item", "longest_at")
@@ -224,10 +224,9 @@ def item_blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator
         yield Block.of_items(held["item_id"].to_pylist(), [np.asarray(w.values.to_numpy()).view(np.uint64) for w in held["words"]], window)
 
 
-def _pass(docs: DataFrame, block: Block) -> DataFrame:
-    """``docs`` with the state columns extended by one block's matches."""
+def _pass(docs: DataFrame, block: Block, first: bool) -> DataFrame:
+    """``docs`` with the state columns, made by the first block, extended by one block's matches."""
     shared = docs.sparkSession.sparkContext.broadcast(block)  # block_words words at most
-    first = "_hits" not in docs.columns
     kept = [f for f in docs.schema.fields if f.name not in _STATE.names]
     schema = T.StructType([*kept, *_STATE.fields])
     text_at = [f.name for f in kept].index("text")
@@ -264,9 +263,9 @@ def _pass(docs: DataFrame, block: Block) -> DataFrame:
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = 500_000) -> DataFrame:
     """``docs`` with n_words, n_hit, item_ids (distinct, sorted), and the longest verbatim match with item and word place."""
-    state = docs.drop(*RESULTS)
+    state, back = set_aside(docs.drop(*RESULTS), _STATE.names)
     for number, block in enumerate(item_blocks(benchmark, window, block_words)):
-        state = _pass(state if number == 0 else settle(state), block)
+        state = _pass(state if number == 0 else staged(state, "matches"), block, number == 0)
     start = F.struct(F.lit(0).cast("bigint").alias("total"), F.lit(0).cast("bigint").alias("reach"))
     covered = F.aggregate(
         F.sort_array("_hits"),
@@ -278,7 +277,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_w
         lambda acc: acc["total"],
     )
     return state.select(
-        *(c for c in state.columns if c not in _STATE.names),
+        *(F.col(c).alias(back.get(c, c)) for c in state.columns if c not in _STATE.names),
         F.col("_n_words").alias("n_words"),
         F.when(F.size("_hits") == 0, F.lit(0).cast("bigint")).otherwise(covered).alias("n_hit"),
         F.sort_array(F.array_distinct("_items")).alias("item_ids"),
@@ -295,4 +294,5 @@ def contaminated(every: int = 20) -> Column:
 
 def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the contaminated ones, with their own columns."""
-    return matches(docs, benchmark).filter(~contaminated()).select(*docs.columns)
+    own, back = set_aside(docs, RESULTS)
+    return matches(own, benchmark).filter(~contaminated()).select(*(F.col(c).alias(back.get(c, c)) for c in own.columns))

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .staging import settle, staged
+from .staging import settle, staged, unused
 
 SIZE, SHARE = 5, 80  # words in a shingle, least similarity in hundredths
 HOT = 1 << 62
@@ -209,7 +209,7 @@ def within_bounds(own: DataFrame, pairs: DataFrame, share: int = SHARE) -> DataF
 
     bit = F.pmod(F.xxhash64("node"), F.lit(1 << 24))
     heads = own.filter("n > 0").select("node", "n", "prefix", bit.alias("bit"))
-    heads = settle(heads.mapInArrow(run, "node bigint, n bigint, prefix array<bigint>").dropDuplicates(["node"]))
+    heads = staged(heads.mapInArrow(run, "node bigint, n bigint, prefix array<bigint>").dropDuplicates(["node"]), "prefixes-of-pairs")
     limit = F.least(F.element_at("prefix_a", -1), F.element_at("prefix_b", -1))
     left = lambda n, prefix: F.col(n) - F.size(F.filter(prefix, lambda key: key <= F.col("limit")))
     most = F.size(F.array_intersect("prefix_a", "prefix_b")) + F.least(left("n_a", "prefix_a"), left("n_b", "prefix_b"))
@@ -240,7 +240,7 @@ def overlaps(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
     bit = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(_NULL_ID))), F.lit(1 << 24))
     rows = docs.select("text", bit.alias("bit")).mapInArrow(run, "node bigint, row array<bigint>")
-    joined = _with_ends(pairs, settle(rows.dropDuplicates(["node"])), "row")
+    joined = _with_ends(pairs, staged(rows.dropDuplicates(["node"]), "rows-of-pairs"), "row")
     shared_count = F.size(F.array_intersect("row_a", "row_b"))
     return joined.select("a", "b", F.size("row_a").alias("m"), F.size("row_b").alias("n"), shared_count.alias("shared"))
 
@@ -273,25 +273,27 @@ def link_components(docs: DataFrame, share: int = SHARE, pivot_rounds: int = 6,
     for turn in range(pivot_rounds + 1):
         comps = settle(components(reduce(DataFrame.unionByName, links)))
         rows = rest.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        spans = rows.groupBy("key", "comp").agg(F.count("*").alias("size")).groupBy("key").agg(F.sum("size").alias("total"), F.max("size").alias("most"), F.max_by("comp", F.struct("size", "comp")).alias("major"), F.count("*").alias("kinds"))
-        open_ = settle(spans.filter("kinds > 1"))
+        # each column's pivot of this turn is found along with its components, so that rows meet one row per column once
+        lot = F.xxhash64("node", F.lit(turn))
+        by_comp = rows.groupBy("key", "comp").agg(F.count("*").alias("size"), F.min(lot).alias("lot"), *(F.min_by(c, lot).alias(c) for c in ("node", "n", "at")))
+        major = F.max_by("comp", F.struct("size", "comp")).alias("major")
+        pivot = [F.min_by(c, "lot").alias(f"q_{c}") for c in ("node", "n", "at", "comp")]
+        spans = by_comp.groupBy("key").agg(F.sum("size").alias("total"), F.max("size").alias("most"), major, F.count("*").alias("kinds"), *pivot)
+        open_ = staged(spans.filter("kinds > 1"), "open-columns")
         cost, amount = open_.agg(F.coalesce(F.sum((F.col("total") - F.col("most")).cast("double") * F.col("total")), F.lit(0.0)), F.coalesce(F.sum("total"), F.lit(0))).first()
         if not amount:
             break
-        rows = rows.join(open_.select("key", "total", "major"), "key")
         last = turn == pivot_rounds or cost <= 64.0 * amount
+        fits = may_link(F.col("q_n"), F.col("n"), F.col("q_at"), F.col("at"), share) & (F.col("q_comp") != F.col("comp"))
         if last:
+            rows = staged(rows.join(open_.select("key", "total", "major"), "key"), "open-rows")
             blocks = F.ceil(F.col("total") / block).cast("int")
             dealt = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks.cast("bigint")).cast("int"))
             minor = rows.filter("comp != major").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
             minor = minor.select("key", "block", *(F.col(c).alias(f"q_{c}") for c in ("node", "n", "at", "comp")))
-            fits = may_link(F.col("q_n"), F.col("n"), F.col("q_at"), F.col("at"), share) & (F.col("q_comp") != F.col("comp"))
             found = minor.join(dealt, ["key", "block"]).filter(fits).select(F.col("q_node").alias("a"), F.col("node").alias("b"))
         else:
-            lot = F.xxhash64("node", F.lit(turn))
-            pivots = rows.groupBy("key").agg(*(F.min_by(c, lot).alias(f"q_{c}") for c in ("node", "n", "at", "comp")))
-            fits = may_link(F.col("q_n"), F.col("n"), F.col("q_at"), F.col("at"), share) & (F.col("q_comp") != F.col("comp"))
-            found = rows.join(pivots, "key").filter(fits).select(F.col("q_node").alias("a"), F.col("node").alias("b"))
+            found = rows.join(open_, "key").filter(fits).select(F.col("q_node").alias("a"), F.col("node").alias("b"))
         new = _pairs(found)
         for before in tried:
             new = new.join(before, ["a", "b"], "left_anti")
@@ -341,8 +343,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_key")
     chosen = found.filter("node is not null").groupBy("comp").agg(F.min(order).alias("o")).select("o.doc_id", "o.text_key", F.lit(False).alias("blank"))
     blank = found.filter("node is null").select("doc_id", "text_key", F.lit(True).alias("blank")).distinct()
-    kept = chosen.unionByName(blank).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("blank").alias("_blank"))
-    rows = docs.withColumn("_text_key", F.xxhash64("text")).withColumn("_row", F.monotonically_increasing_id())
-    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")))
-    rows = rows.withColumn("_lot", F.when(F.col("_blank"), F.col("_row"))).dropDuplicates(["_id", "_key", "_lot"])
+    kept_id, key, is_blank, text_key, row, lot = (unused(docs, name) for name in ("_id", "_key", "_blank", "_text_key", "_row", "_lot"))
+    kept = chosen.unionByName(blank).select(F.col("doc_id").alias(kept_id), F.col("text_key").alias(key), F.col("blank").alias(is_blank))
+    rows = docs.withColumn(text_key, F.xxhash64("text")).withColumn(row, F.monotonically_increasing_id())
+    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(text_key) == F.col(key)))
+    rows = rows.withColumn(lot, F.when(F.col(is_blank), F.col(row))).dropDuplicates([kept_id, key, lot])
     return rows.select(*docs.columns)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .staging import settle
+from .staging import settle, staged, unused
 
 #: Kind: (cheap pattern that every match fulfils, pattern, group that holds the value, least length of that group).
 BASE = {
@@ -98,7 +98,8 @@ def scan(docs: DataFrame, owner: Column | None = None, repository: Column | None
     owner = F.col("source") if owner is None else owner
     repository = F.concat_ws("/", "source", "lang") if repository is None else repository
     found = settle(candidates(docs, owner, repository))
-    rated = found.join(ownership(found), "hash", "left")
+    # read back, the counts come by a shuffle of their own, and Spark splits a value that very many texts hold
+    rated = found.join(staged(ownership(found), "ownership"), "hash", "left")
     copied = (F.col("owners") >= copied_from) | (F.col("repositories") >= copied_to)
     verdict = F.when(copied, "example").when(F.col("live"), "live").otherwise("unlikely")
     rated = rated.select(
@@ -114,19 +115,20 @@ def scan(docs: DataFrame, owner: Column | None = None, repository: Column | None
     )
     fresh = (F.col("verdict") == "live") & (F.coalesce(F.col("ended"), F.lit(0)) <= F.col("start"))
     fresh = fresh & (F.coalesce(F.col("begins"), F.col("end")) >= F.col("end"))
+    found_id, key, text_key = (unused(docs, name) for name in ("_id", "_key", "_text_key"))
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     spans = (
         touched.filter(is_base | fresh)
-        .groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+        .groupBy(F.col("doc_id").alias(found_id), F.col("text_key").alias(key))
         .agg(F.sort_array(F.collect_list(F.struct("start", order.alias("o"), "kind", "end", "verdict", "owners", "repositories"))).alias("spans"))
         .withColumn(
             "spans",
             F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["verdict"].alias("verdict"), s["owners"].alias("owners"), s["repositories"].alias("repositories"))),
         )
     )
-    rows = docs.drop("spans").withColumn("_text_key", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    joined = rows.join(spans, rows["doc_id"].eqNullSafe(spans["_id"]) & (F.col("_text_key") == F.col("_key")), "left")
-    return joined.drop("_id", "_key", "_text_key").withColumn("spans", F.coalesce("spans", F.array().cast(SPAN)))
+    rows = docs.drop("spans").withColumn(text_key, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    joined = rows.join(spans, rows["doc_id"].eqNullSafe(spans[found_id]) & (F.col(text_key) == F.col(key)), "left")
+    return joined.drop(found_id, key, text_key).withColumn("spans", F.coalesce("spans", F.array().cast(SPAN)))
 
 
 def joined(spans: Column) -> Column:

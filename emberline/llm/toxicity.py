@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled, words
+from .staging import set_aside
 
 BITS = 24
 PREFIX = 5
@@ -147,4 +148,5 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` that are not predicted toxic, with their own columns."""
-    return classify(docs, model).filter(F.col("predicted") == 0).select(*docs.columns)
+    own, back = set_aside(docs, ["score", "predicted"])
+    return classify(own, model).filter(F.col("predicted") == 0).select(*(F.col(c).alias(back.get(c, c)) for c in own.columns))
