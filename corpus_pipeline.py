@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.llm import bpe, decontaminate, jaccard, labelled, secrets, toxicity
-from emberline.llm.staging import new_folder
+from emberline.llm.staging import freeing_shuffles, new_folder, set_aside
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +32,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; secrets give way to a mark, values that many owners carry to the mark of an example."""
-    redacted = secrets.redact(secrets.scan(docs))
-    return redacted.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    own, back = set_aside(docs, ["spans"])
+    redacted = secrets.redact(secrets.scan(own))
+    n_chars = F.when(F.size("spans") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
+    return redacted.withColumn("n_chars", n_chars).select(*(F.col(c).alias(back.get(c, c)) for c in own.columns))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,6 +64,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         out = new_folder(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(out)
+        with freeing_shuffles(spark):
+            stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
     return docs
