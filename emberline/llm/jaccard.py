@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -157,7 +156,7 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
@@ -169,6 +168,20 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
+def joined_up(comps: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``comps`` (node, comp) after ``links`` (a, b) are added: only what they join is gone through again."""
+    if comps is None:
+        return settle(components(links))
+    for end in ("a", "b"):
+        named = comps.select(F.col("node").alias(end), F.col("comp").alias(f"c_{end}"))
+        links = links.join(named, end, "left").withColumn(f"c_{end}", F.coalesce(f"c_{end}", end))
+    # a link's own ends come along: nodes that no link has named before belong to themselves
+    moved = staged(components(links.select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))).toDF("comp", "now"), "moved")
+    kept = comps.join(moved, "comp", "left").select("node", F.coalesce("now", "comp").alias("comp"))
+    fresh = moved.select(F.col("comp").alias("node"), F.col("now").alias("comp")).join(comps.select("node"), "node", "left_anti")
+    return staged(kept.unionByName(fresh), "components")
+
+
 def _bitmap(ids: DataFrame, bits: int = 24) -> np.ndarray:
     """A bit per remainder of the ids: at most 2**bits bits, put together on the executors."""
     place = F.pmod(F.xxhash64("id"), F.lit(1 << bits))
@@ -269,9 +282,8 @@ def link_components(docs: DataFrame, share: int = SHARE, pivot_rounds: int = 6,
     streamed = staged(sorted_.mapInArrow(_columns, "a bigint, b bigint, key bigint, node bigint, n bigint, at bigint, is_pair boolean"), "columns")
     rest = streamed.filter("not is_pair").select("key", "node", "n", "at")
     tried = [settle(_pairs(streamed.filter("is_pair")))]
-    links = [_links(docs, own, nodes, tried[0], share)]
+    comps = joined_up(None, _links(docs, own, nodes, tried[0], share))
     for turn in range(pivot_rounds + 1):
-        comps = settle(components(reduce(DataFrame.unionByName, links)))
         rows = rest.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         # each column's pivot of this turn is found along with its components, so that rows meet one row per column once
         lot = F.xxhash64("node", F.lit(turn))
@@ -298,9 +310,8 @@ def link_components(docs: DataFrame, share: int = SHARE, pivot_rounds: int = 6,
         for before in tried:
             new = new.join(before, ["a", "b"], "left_anti")
         tried.append(settle(new))
-        links.append(_links(docs, own, nodes, tried[-1], share))
+        comps = joined_up(comps, _links(docs, own, nodes, tried[-1], share))
         if last:
-            comps = settle(components(reduce(DataFrame.unionByName, links)))
             break
     named = nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("least_id").alias("component_id"))
