@@ -73,7 +73,7 @@ def suffix_array(text: np.ndarray, suffixes: np.ndarray) -> np.ndarray:
 
     Prefix doubling: places are ranked by 1, 2, 4, ... words; only suffixes still tied are ranked further.
     """
-    rank = text.astype(np.int64)
+    rank = np.unique(np.append(text, 0), return_inverse=True)[1][:-1]  # word numbers may exceed the length that keys are made with
     order = suffixes
     span = 1
     while True:

@@ -1,5 +1,6 @@
 """Benchmark items that repeat one another: each text is searched and written out once."""
 
+import random
 import time
 
 import numpy as np
@@ -40,3 +41,17 @@ def test_repeated_items_equal_brute_force(spark):
     for row in got:
         n_words, n_hit, found = brute_matches(dict(docs)[row["doc_id"]], items)
         assert (row["n_words"], row["n_hit"], sorted(row["item_ids"])) == (n_words, n_hit, sorted(found))
+
+
+def test_short_texts_against_a_large_vocabulary_equal_brute_force():
+    rng = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    items = [(str(i), " ".join(rng.choices(vocabulary, k=rng.choice([1, 2, 5, 13, 20, 30])))) for i in range(60)]
+    block = block_of([text for _, text in items])
+    for _ in range(60):
+        doc = " ".join(rng.choice(items)[1] for _ in range(rng.randint(1, 4)))
+        _, texts, found = next(words.word_hashes(pa.array([doc]), words.LETTERS))
+        starts, ends, pairs, _ = decontaminate.match_shard(block, found, texts)
+        covered = {place for a, b in zip(starts.tolist(), ends.tolist()) for place in range(a, b)}
+        n_words, n_hit, named = brute_matches(doc, items)
+        assert (len(found), len(covered), {str(i) for i in pairs[:, 1].tolist()}) == (n_words, n_hit, set(named))
