@@ -82,3 +82,17 @@ def test_ranges_meet_values_in_an_equi_join_only(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert got.count() == 2000 and all(math.fmod(r["v"], 3) < 2 for r in got.collect())
+
+
+def test_ranges_over_one_value_are_not_all_met(spark):
+    table = spark.range(600).selectExpr("id as band", "cast((id * 37) % 150 as double) as low", "cast((id * 37) % 150 + 40 + id % 7 as double) as high")
+    few = ranges.firsts(table, "band")
+    bounds = table.select("low").union(table.select("high")).distinct().count()
+    held = sorted((r["_from"], r["_to"], r["_first"]["band"]) for r in few.collect())
+    assert len(held) < bounds and all(a[1] <= b[0] for a, b in zip(held, held[1:]))
+    values = spark.range(800).select("id", (F.col("id") / 4).alias("v"))
+    assert ranges.matches(values, table, "v").count() > 100 * 600
+    assert ranges.matches(values, few, "v", "_from", "_to").count() <= 800
+    rows = [(r["band"], r["low"], r["high"]) for r in table.collect()]
+    got = sorted((r["id"], r["band"]) for r in ranges.first_match(values, table, "id", "v", "band").collect())
+    assert got == brute_first([(i, i / 4) for i in range(800)], rows)
