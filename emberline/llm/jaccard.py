@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .staging import settle, staged, unused
+from .staging import few_files, settle, staged, unused
 
 SIZE, SHARE = 5, 80  # words in a shingle, least similarity in hundredths
 HOT = 1 << 62
@@ -149,11 +149,40 @@ def _columns(batches: Iterator[pa.RecordBatch], share: int = SHARE) -> Iterator[
         pivot = (p_node[-1], p_n[-1], p_at[-1], int(place[-1]) + 1)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, comp) for every node of ``links`` (a, b): alternating large and small stars until nothing changes."""
-    edges = settle(links.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's edges (u, v) as one edge from every node to the least one it reaches by them."""
+    held = [np.stack([batch.column("u").to_numpy(), batch.column("v").to_numpy()]) for batch in batches]
+    nodes, number = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *held], axis=1), return_inverse=True)
+    u, v = number.reshape(2, -1)
+    least = np.arange(len(nodes))
     while True:
+        both = np.minimum(least[u], least[v])
+        new = least.copy()
+        for end in (u, v, least[u], least[v]):
+            np.minimum.at(new, end, both)
+        while not np.array_equal(new, new[new]):
+            new = new[new]
+        if np.array_equal(new, least):
+            break
+        least = new
+    moved = np.flatnonzero(least != np.arange(len(nodes)))
+    for at in range(0, len(moved), 10_000):
+        part = moved[at : at + 10_000]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[part]), pa.array(nodes[least[part]])], names=["u", "v"])
+
+
+def components(links: DataFrame, most: int | None = None, per_task: int = 100_000) -> DataFrame:
+    """(node, comp) for every node of ``links`` (a, b), at most ``most`` of them: stars of ``per_task`` links each, then,
+    if these were several tasks, alternating large and small stars until nothing changes or one task holds the rest."""
+    if most is None:
+        links = settle(links)
+        most = links.count()
+    edges = links.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    held_by = lambda df, tasks: settle(df.repartition(tasks).mapInArrow(_stars, "u bigint, v bigint"))
+    tasks = max(1, -(-most // per_task))
+    edges = held_by(edges, tasks)
+    before = None
+    while tasks > 1:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
@@ -165,21 +194,28 @@ def components(links: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
+        if now["n"] <= per_task:
+            edges = held_by(edges, 1)
+            break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
 def joined_up(comps: DataFrame | None, links: DataFrame) -> DataFrame:
     """``comps`` (node, comp) after ``links`` (a, b) are added: only what they join is gone through again."""
+    most = links.count()
     if comps is None:
-        return settle(components(links))
+        return staged(few_files(components(links, most), 2 * most), "components")
+    if not most:
+        return comps
     for end in ("a", "b"):
         named = comps.select(F.col("node").alias(end), F.col("comp").alias(f"c_{end}"))
         links = links.join(named, end, "left").withColumn(f"c_{end}", F.coalesce(f"c_{end}", end))
     # a link's own ends come along: nodes that no link has named before belong to themselves
-    moved = staged(components(links.select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))).toDF("comp", "now"), "moved")
+    moved = components(links.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")), most)
+    moved = staged(few_files(moved.toDF("comp", "now"), 2 * most), "moved")
     kept = comps.join(moved, "comp", "left").select("node", F.coalesce("now", "comp").alias("comp"))
     fresh = moved.select(F.col("comp").alias("node"), F.col("now").alias("comp")).join(comps.select("node"), "node", "left_anti")
-    return staged(kept.unionByName(fresh), "components")
+    return staged(few_files(kept.unionByName(fresh), comps.count() + 2 * most), "components")
 
 
 def _bitmap(ids: DataFrame, bits: int = 24) -> np.ndarray:
@@ -207,11 +243,12 @@ def _with_ends(pairs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
 
 
 def within_bounds(own: DataFrame, pairs: DataFrame, share: int = SHARE) -> DataFrame:
-    """The ``pairs`` (a, b) whose product over their prefix columns still lets them reach their bound.
+    """The ``pairs`` (a, b, settled) whose product over their prefix columns still lets them reach their bound.
 
     Up to the lesser of the two prefixes' last keys both rows are known, so their overlap is what they share
     there and, at most, all that the row with less left has behind it.
     """
+    most = pairs.count()
     shared = own.sparkSession.sparkContext.broadcast(_bitmap(_ends(pairs).select(F.col("node").alias("id"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,16 +259,17 @@ def within_bounds(own: DataFrame, pairs: DataFrame, share: int = SHARE) -> DataF
 
     bit = F.pmod(F.xxhash64("node"), F.lit(1 << 24))
     heads = own.filter("n > 0").select("node", "n", "prefix", bit.alias("bit"))
-    heads = staged(heads.mapInArrow(run, "node bigint, n bigint, prefix array<bigint>").dropDuplicates(["node"]), "prefixes-of-pairs")
+    heads = heads.mapInArrow(run, "node bigint, n bigint, prefix array<bigint>").dropDuplicates(["node"])
+    heads = staged(few_files(heads, 2 * most), "prefixes-of-pairs")
     limit = F.least(F.element_at("prefix_a", -1), F.element_at("prefix_b", -1))
     left = lambda n, prefix: F.col(n) - F.size(F.filter(prefix, lambda key: key <= F.col("limit")))
-    most = F.size(F.array_intersect("prefix_a", "prefix_b")) + F.least(left("n_a", "prefix_a"), left("n_b", "prefix_b"))
+    can = F.size(F.array_intersect("prefix_a", "prefix_b")) + F.least(left("n_a", "prefix_a"), left("n_b", "prefix_b"))
     joined = _with_ends(pairs, heads, "n", "prefix").withColumn("limit", limit)
-    return settle(joined.filter((100 + share) * most >= share * (F.col("n_a") + F.col("n_b"))).select("a", "b"))
+    return settle(few_files(joined.filter((100 + share) * can >= share * (F.col("n_a") + F.col("n_b"))).select("a", "b"), most))
 
 
 def overlaps(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) of nodes with their sizes m and n and ``shared``, the product of their whole incidence rows.
+    """``pairs`` (a, b, settled) of nodes with their sizes m and n and ``shared``, the product of their whole incidence rows.
 
     Only texts that stand for a node of some pair are read again: a bitmap of their ids (of bounded size, some
     others slip through) keeps the rest from being cut and sent.
@@ -253,14 +291,21 @@ def overlaps(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
     bit = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(_NULL_ID))), F.lit(1 << 24))
     rows = docs.select("text", bit.alias("bit")).mapInArrow(run, "node bigint, row array<bigint>")
-    joined = _with_ends(pairs, staged(rows.dropDuplicates(["node"]), "rows-of-pairs"), "row")
+    rows = few_files(rows.dropDuplicates(["node"]), 2 * pairs.count())
+    joined = _with_ends(pairs, staged(rows, "rows-of-pairs"), "row")
     shared_count = F.size(F.array_intersect("row_a", "row_b"))
     return joined.select("a", "b", F.size("row_a").alias("m"), F.size("row_b").alias("n"), shared_count.alias("shared"))
 
 
 def _links(docs: DataFrame, own: DataFrame, nodes: DataFrame, pairs: DataFrame, share: int) -> DataFrame:
-    counted = overlaps(docs, nodes, within_bounds(own, pairs, share))
-    return settle(counted.filter(100 * F.col("shared") >= share * (F.col("m") + F.col("n") - F.col("shared"))).select("a", "b"))
+    """Those of the settled ``pairs`` that are links; of no pairs none, without another look at the texts."""
+    if not pairs.isEmpty():
+        pairs = within_bounds(own, pairs, share)
+    if pairs.isEmpty():
+        return pairs
+    counted = overlaps(docs, nodes, pairs)
+    links = counted.filter(100 * F.col("shared") >= share * (F.col("m") + F.col("n") - F.col("shared"))).select("a", "b")
+    return settle(few_files(links, pairs.count()))
 
 
 def _pairs(pairs: DataFrame) -> DataFrame:

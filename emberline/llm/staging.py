@@ -63,6 +63,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def few_files(df: DataFrame, rows: int, per_file: int = 20_000) -> DataFrame:
+    """``df`` of at most ``rows`` rows in as few partitions as these need, two per core at least, before it is written.
+
+    A file costs a task, and on a local file system a process forked from the executor, however few rows it has.
+    """
+    session = df.sparkSession
+    parts = max(2 * session.sparkContext.defaultParallelism, -(-rows // per_file))
+    return df.coalesce(parts) if parts < int(session.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, or a longer one if ``df`` has a column of that name (in any case)."""
     taken = {column.lower() for column in df.columns}
