@@ -40,12 +40,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of all documents, with the digest of what they decode to."""
-    tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), tokenizer).drop("text")
-    decoded = bpe.decode(encoded, tokenizer)
-    return decoded.select(
-        "doc_id", "lang", "source", F.size("token_ids").cast("bigint").alias("n_tokens"), "token_ids", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256")
-    )
+    encoded = bpe.encode_checked(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    return encoded.select("doc_id", "lang", "source", F.size("token_ids").cast("bigint").alias("n_tokens"), "token_ids", "decoded_sha256")
 
 
 STAGES = [

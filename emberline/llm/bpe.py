@@ -287,6 +287,20 @@ def _over_texts(docs: DataFrame, tokenizer_path: str, made: list, batch_chars: i
     return docs.select(*(f.name for f in kept)).mapInArrow(run, schema)
 
 
+def encode_checked(docs: DataFrame, tokenizer_path: str, batch_chars: int = 2_000_000) -> DataFrame:
+    """``docs`` with ``token_ids`` as of :func:`encode` and the ``decoded_sha256`` of the text that :func:`decode` makes of them.
+
+    Both run in one task with one tokenizer: ids need not come back to Python, and an executor holds half the workers.
+    """
+    import hashlib
+
+    def compute(encoded: list[np.ndarray], extra: dict) -> tuple:
+        return [ids.astype(np.int32) for ids in encoded], [hashlib.sha256(extra["decode"](ids).encode("utf-8")).hexdigest() for ids in encoded]
+
+    made = [("token_ids", T.ArrayType(T.IntegerType()), pa.list_(pa.int32())), ("decoded_sha256", T.StringType(), pa.string())]
+    return _over_texts(docs, tokenizer_path, made, batch_chars, compute)
+
+
 def digests(docs: DataFrame, tokenizer_path: str, batch_chars: int = 2_000_000) -> DataFrame:
     """``docs`` with n_tokens, ids_sha256 and decoded_sha256 of every encoded and decoded text.
 
