@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words
@@ -36,6 +36,7 @@ from .staging import few_files, settle, staged, unused
 
 SIZE, SHARE = 5, 80  # words in a shingle, least similarity in hundredths
 HOT = 1 << 62
+EARLIER = 8  # columns that a row of the last turn remembers
 _NULL_ID = -(2**63)
 
 
@@ -343,12 +344,14 @@ def link_components(docs: DataFrame, share: int = SHARE, pivot_rounds: int = 6,
         last = turn == pivot_rounds or cost <= 64.0 * amount
         fits = may_link(F.col("q_n"), F.col("n"), F.col("q_at"), F.col("at"), share) & (F.col("q_comp") != F.col("comp"))
         if last:
-            rows = staged(rows.join(open_.select("key", "total", "major"), "key"), "open-rows")
+            # a pair that shares an earlier open column is tried there; a few columns back find most of them
+            earlier = F.collect_list("key").over(Window.partitionBy("node").orderBy("at").rowsBetween(-EARLIER, -1))
+            rows = staged(rows.join(open_.select("key", "total", "major"), "key").withColumn("earlier", earlier), "open-rows")
             blocks = F.ceil(F.col("total") / block).cast("int")
             dealt = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks.cast("bigint")).cast("int"))
             minor = rows.filter("comp != major").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            minor = minor.select("key", "block", *(F.col(c).alias(f"q_{c}") for c in ("node", "n", "at", "comp")))
-            found = minor.join(dealt, ["key", "block"]).filter(fits).select(F.col("q_node").alias("a"), F.col("node").alias("b"))
+            minor = minor.select("key", "block", *(F.col(c).alias(f"q_{c}") for c in ("node", "n", "at", "comp", "earlier")))
+            found = minor.join(dealt, ["key", "block"]).filter(fits & ~F.arrays_overlap("q_earlier", "earlier")).select(F.col("q_node").alias("a"), F.col("node").alias("b"))
         else:
             found = rows.join(open_, "key").filter(fits).select(F.col("q_node").alias("a"), F.col("node").alias("b"))
         new = _pairs(found)

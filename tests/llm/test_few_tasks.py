@@ -50,3 +50,22 @@ def test_few_rows_are_few_files(spark, tmp_path):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     files = [name for name in os.listdir(f"{tmp_path}/few") if name.endswith(".parquet")]
     assert len(files) <= 2 * spark.sparkContext.defaultParallelism and spark.read.parquet(f"{tmp_path}/few").count() == 900
+
+
+def test_a_pair_is_made_in_few_of_the_columns_it_shares(spark, monkeypatch):
+    rng, made = random.Random(11), []
+    base = [f"w{i}" for i in range(1000)]
+    texts = []
+    for group in range(30):
+        own = list(base)
+        for place in rng.sample(range(1000), 13):
+            own[place] = f"x{group}-{place}"
+        texts += [" ".join(own)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    monkeypatch.setattr(jaccard, "_pairs", lambda pairs, plain=jaccard._pairs: made.append((pairs.count(), plain(pairs).count())) or plain(pairs))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.link_components(docs, pivot_rounds=0).collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    links = [(a, b) for b in range(30) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert got == {i: i for i in range(30)} | least_reached(links)
+    rows, pairs = made[-1]
+    assert pairs > 100 and rows <= 2 * pairs
