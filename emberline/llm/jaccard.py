@@ -11,7 +11,8 @@ hold out of the product; it changes no result.
 
 Only components are wanted, so a block needs no pair whose ends are connected already. Within each column one
 row is the pivot and is tried with all others; what that joins needs no more trying. Columns that still span
-several components get another pivot; once few are left over, every pair between different components is tried.
+several components get another pivot; once few are left over, every pair between different components is tried,
+unless the rows' sketches already differ in more bits than a link leaves room for (``sketch_of``).
 No group is ever written out as all its pairs, and no link between different sets is lost. Who wants the links
 themselves, or their number per row, takes ``linked_pairs``, which tries every pair of the mask.
 
@@ -37,6 +38,7 @@ from .staging import few_files, settle, staged, unused
 SIZE, SHARE = 5, 80  # words in a shingle, least similarity in hundredths
 HOT = 1 << 62
 EARLIER = 8  # columns that a row of the last turn remembers
+SKETCH = 16  # words of 64 bits in a row's sketch
 _NULL_ID = -(2**63)
 
 
@@ -50,6 +52,22 @@ def may_link(m: Column, n: Column, at_m: Column, at_n: Column, share: int = SHAR
     return fits & ((100 + share) * F.least(m - at_m, n - at_n) >= share * (m + n))
 
 
+def sketch_of(own: np.ndarray) -> np.ndarray:
+    """A bit per remainder of the shingles, set where an odd number of them falls.
+
+    A shingle that only one of two sets holds turns one bit, one that both hold turns none. So two sets differ in at
+    least as many shingles as their sketches do in bits. Sets of some 2,300 and more fill it and are told apart no more.
+    """
+    odd = np.bincount(own & (64 * SKETCH - 1), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def near_enough(m: Column, n: Column, sketch_m: Column, sketch_n: Column, share: int = SHARE) -> Column:
+    """Whether sets of sizes m and n with these sketches can link: they share what they must if they differ in no more than this."""
+    apart = sum(F.bit_count(F.get(sketch_m, F.lit(i)).bitwiseXOR(F.get(sketch_n, F.lit(i)))) for i in range(SKETCH))
+    return (100 + share) * apart <= (100 - share) * (m + n)
+
+
 def text_sets(column: pa.Array) -> Iterator[np.ndarray]:
     """The ascending distinct shingle hashes of each text."""
     for _, texts, found in words.word_hashes(column, words.BLANKS):
@@ -78,27 +96,28 @@ def frequent(docs: DataFrame, least_local: int = 3, keep: int = 500_000) -> np.n
 
 
 def prefixes(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """doc_id, text_key, node (hash of the whole set; null without shingles), n, prefix (ordered keys) of every row."""
+    """doc_id, text_key, node (hash of the whole set; null without shingles), n, prefix (ordered keys), sketch of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)  # at most ``keep`` numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = shared.value
         for batch in batches:
-            nodes, sizes, heads = [], [], []
+            nodes, sizes, heads, sketches = [], [], [], []
             for own in text_sets(batch.column("text")):
                 n = len(own)
                 sizes.append(n)
                 nodes.append(_node(own) if n else None)
+                sketches.append(sketch_of(own) if n else None)
                 if n and len(hot):
                     at = np.minimum(np.searchsorted(hot, own), len(hot) - 1)
                     often = hot[at] == own
                     own = np.concatenate([own[~often], own[often] | HOT])
                 heads.append(own[: prefix_length(n)] if n else own)
-            columns = [batch.column("doc_id"), batch.column("text_key"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(heads, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "node", "n", "prefix"])
+            columns = [batch.column("doc_id"), batch.column("text_key"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(heads, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "node", "n", "prefix", "sketch"])
 
     rows = docs.select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
-    return rows.mapInArrow(run, "doc_id bigint, text_key bigint, node bigint, n bigint, prefix array<bigint>")
+    return rows.mapInArrow(run, "doc_id bigint, text_key bigint, node bigint, n bigint, prefix array<bigint>, sketch array<bigint>")
 
 
 def _columns(batches: Iterator[pa.RecordBatch], share: int = SHARE) -> Iterator[pa.RecordBatch]:
@@ -243,29 +262,35 @@ def _with_ends(pairs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
     return pairs
 
 
-def within_bounds(own: DataFrame, pairs: DataFrame, share: int = SHARE) -> DataFrame:
-    """The ``pairs`` (a, b, settled) whose product over their prefix columns still lets them reach their bound.
-
-    Up to the lesser of the two prefixes' last keys both rows are known, so their overlap is what they share
-    there and, at most, all that the row with less left has behind it.
-    """
-    most = pairs.count()
-    shared = own.sparkSession.sparkContext.broadcast(_bitmap(_ends(pairs).select(F.col("node").alias("id"))))
+def _of_nodes(own: DataFrame, nodes: DataFrame, most: int, *arrays: str) -> DataFrame:
+    """node, n and these arrays of ``own``, one row for each of ``nodes``, at most ``most``; a few others slip through."""
+    shared = own.sparkSession.sparkContext.broadcast(_bitmap(nodes.select(F.col("node").alias("id"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = _taken(shared.value, batch.column("bit").to_numpy())
             kept = kept[np.unique(batch.column("node").to_numpy()[kept], return_index=True)[1]]
-            yield batch.select(["node", "n", "prefix"]).take(pa.array(kept))
+            yield batch.select(["node", "n", *arrays]).take(pa.array(kept))
 
     bit = F.pmod(F.xxhash64("node"), F.lit(1 << 24))
-    heads = own.filter("n > 0").select("node", "n", "prefix", bit.alias("bit"))
-    heads = heads.mapInArrow(run, "node bigint, n bigint, prefix array<bigint>").dropDuplicates(["node"])
-    heads = staged(few_files(heads, 2 * most), "prefixes-of-pairs")
+    rows = own.filter("n > 0").select("node", "n", *arrays, bit.alias("bit"))
+    rows = rows.mapInArrow(run, ", ".join(["node bigint, n bigint", *(f"{name} array<bigint>" for name in arrays)])).dropDuplicates(["node"])
+    return staged(few_files(rows, most), f"{'-'.join(arrays)}-of-nodes")
+
+
+def within_bounds(own: DataFrame, pairs: DataFrame, share: int = SHARE) -> DataFrame:
+    """The ``pairs`` (a, b, settled) whose product over their prefix columns still lets them reach their bound.
+
+    Up to the lesser of the two prefixes' last keys both rows are known, so their overlap is what they share
+    there and, at most, all that the row with less left has behind it. Their sketches must let them link as well.
+    """
+    most = pairs.count()
+    heads = _of_nodes(own, _ends(pairs), 2 * most, "prefix", "sketch")
     limit = F.least(F.element_at("prefix_a", -1), F.element_at("prefix_b", -1))
     left = lambda n, prefix: F.col(n) - F.size(F.filter(prefix, lambda key: key <= F.col("limit")))
     can = F.size(F.array_intersect("prefix_a", "prefix_b")) + F.least(left("n_a", "prefix_a"), left("n_b", "prefix_b"))
-    joined = _with_ends(pairs, heads, "n", "prefix").withColumn("limit", limit)
+    joined = _with_ends(pairs, heads, "n", "prefix", "sketch").withColumn("limit", limit)
+    joined = joined.filter(near_enough(F.col("n_a"), F.col("n_b"), F.col("sketch_a"), F.col("sketch_b"), share))
     return settle(few_files(joined.filter((100 + share) * can >= share * (F.col("n_a") + F.col("n_b"))).select("a", "b"), most))
 
 
@@ -347,10 +372,12 @@ def link_components(docs: DataFrame, share: int = SHARE, pivot_rounds: int = 6,
             # a pair that shares an earlier open column is tried there; a few columns back find most of them
             earlier = F.collect_list("key").over(Window.partitionBy("node").orderBy("at").rowsBetween(-EARLIER, -1))
             rows = staged(rows.join(open_.select("key", "total", "major"), "key").withColumn("earlier", earlier), "open-rows")
+            rows = rows.join(_of_nodes(own, rows.select("node").distinct(), amount, "sketch").select("node", "sketch"), "node")
+            fits &= near_enough(F.col("q_n"), F.col("n"), F.col("q_sketch"), F.col("sketch"), share)
             blocks = F.ceil(F.col("total") / block).cast("int")
             dealt = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks.cast("bigint")).cast("int"))
             minor = rows.filter("comp != major").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            minor = minor.select("key", "block", *(F.col(c).alias(f"q_{c}") for c in ("node", "n", "at", "comp", "earlier")))
+            minor = minor.select("key", "block", *(F.col(c).alias(f"q_{c}") for c in ("node", "n", "at", "comp", "earlier", "sketch")))
             found = minor.join(dealt, ["key", "block"]).filter(fits & ~F.arrays_overlap("q_earlier", "earlier")).select(F.col("q_node").alias("a"), F.col("node").alias("b"))
         else:
             found = rows.join(open_, "key").filter(fits).select(F.col("q_node").alias("a"), F.col("node").alias("b"))
