@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +81,16 @@ def _node(own: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def often(made: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The values that occur ``least`` times (2 and more) in all of ``made``, ascending, and how often they do."""
+    value = np.concatenate([np.zeros(0, np.int64), *made])
+    made.clear()
+    value.sort()
+    # the i-th of equal values has its like ``least - 1`` places on, but for the last ones: no array of all distinct values
+    value, times = np.unique(value[: 1 - least][value[least - 1 :] == value[: 1 - least]], return_counts=True)
+    return value, times + least - 1
+
+
 def frequent(docs: DataFrame, least_local: int = 3, keep: int = 500_000) -> np.ndarray:
     """Shingles that many texts hold, for the global order only: the ``keep`` most frequent of those that occur
     ``least_local`` times in one Arrow batch of texts. Whatever it holds or misses, results are the same."""
@@ -87,9 +98,8 @@ def frequent(docs: DataFrame, least_local: int = 3, keep: int = 500_000) -> np.n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [words.shingles(found, texts, SIZE)[0] for _, texts, found in words.word_hashes(batch.column("text"), words.BLANKS)]
-            value, times = np.unique(np.concatenate([np.zeros(0, np.int64), *made]), return_counts=True)
-            often = times >= least_local
-            yield pa.RecordBatch.from_arrays([pa.array(value[often]), pa.array(times[often].astype(np.int64))], names=["h", "n"])
+            value, times = often(made, least_local)
+            yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(times.astype(np.int64))], names=["h", "n"])
 
     rows = docs.select("text").mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
     return np.sort(rows.orderBy(F.desc("n"), "h").limit(keep).select("h").toArrow()["h"].to_numpy())
@@ -101,7 +111,7 @@ def prefixes(docs: DataFrame, hot: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = shared.value
-        for batch in batches:
+        for batch in (whole.slice(at, 2_000) for whole in batches for at in range(0, whole.num_rows, 2_000)):
             nodes, sizes, heads, sketches = [], [], [], []
             for own in text_sets(batch.column("text")):
                 n = len(own)
@@ -110,9 +120,9 @@ def prefixes(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                 sketches.append(sketch_of(own) if n else None)
                 if n and len(hot):
                     at = np.minimum(np.searchsorted(hot, own), len(hot) - 1)
-                    often = hot[at] == own
-                    own = np.concatenate([own[~often], own[often] | HOT])
-                heads.append(own[: prefix_length(n)] if n else own)
+                    late = hot[at] == own
+                    own = np.concatenate([own[~late], own[late] | HOT])
+                heads.append(own[: prefix_length(n)].copy() if n else own)  # a part that is no copy would hold the whole
             columns = [batch.column("doc_id"), batch.column("text_key"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(heads, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "node", "n", "prefix", "sketch"])
 
@@ -354,6 +364,7 @@ def link_components(docs: DataFrame, share: int = SHARE, pivot_rounds: int = 6,
     rest = streamed.filter("not is_pair").select("key", "node", "n", "at")
     tried = [settle(_pairs(streamed.filter("is_pair")))]
     comps = joined_up(None, _links(docs, own, nodes, tried[0], share))
+    columns = None  # open ones of the turn before; a column that is closed stays so
     for turn in range(pivot_rounds + 1):
         rows = rest.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         # each column's pivot of this turn is found along with its components, so that rows meet one row per column once
@@ -362,8 +373,10 @@ def link_components(docs: DataFrame, share: int = SHARE, pivot_rounds: int = 6,
         major = F.max_by("comp", F.struct("size", "comp")).alias("major")
         pivot = [F.min_by(c, "lot").alias(f"q_{c}") for c in ("node", "n", "at", "comp")]
         spans = by_comp.groupBy("key").agg(F.sum("size").alias("total"), F.max("size").alias("most"), major, F.count("*").alias("kinds"), *pivot)
-        open_ = staged(spans.filter("kinds > 1"), "open-columns")
-        cost, amount = open_.agg(F.coalesce(F.sum((F.col("total") - F.col("most")).cast("double") * F.col("total")), F.lit(0.0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+        spans = spans.filter("kinds > 1")
+        open_ = staged(spans if columns is None else few_files(spans, columns), "open-columns")
+        work = (F.col("total") - F.col("most")).cast("double") * F.col("total")
+        cost, amount, columns = open_.agg(F.coalesce(F.sum(work), F.lit(0.0)), F.coalesce(F.sum("total"), F.lit(0)), F.count("*")).first()
         if not amount:
             break
         last = turn == pivot_rounds or cost <= 64.0 * amount
@@ -381,10 +394,9 @@ def link_components(docs: DataFrame, share: int = SHARE, pivot_rounds: int = 6,
             found = minor.join(dealt, ["key", "block"]).filter(fits & ~F.arrays_overlap("q_earlier", "earlier")).select(F.col("q_node").alias("a"), F.col("node").alias("b"))
         else:
             found = rows.join(open_, "key").filter(fits).select(F.col("q_node").alias("a"), F.col("node").alias("b"))
-        new = _pairs(found)
-        for before in tried:
-            new = new.join(before, ["a", "b"], "left_anti")
-        tried.append(settle(new))
+        # but in the last turn a row makes one pair per column at most
+        new = _pairs(found).join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti")
+        tried.append(settle(new if last else few_files(new, amount)))
         comps = joined_up(comps, _links(docs, own, nodes, tried[-1], share))
         if last:
             break

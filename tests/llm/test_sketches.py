@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 
 from emberline.llm import jaccard
@@ -46,3 +47,36 @@ def test_the_last_turn_makes_few_pairs_that_cannot_link(spark, monkeypatch):
             least[a] = least[b] = min(least[a], least[b])
     assert got == dict(enumerate(least))
     assert len(links) > 500 and made[-1] <= 500
+
+
+def test_values_that_occur_often_are_those_of_a_plain_count():
+    rng = np.random.default_rng(8)
+    for least in (2, 3, 5):
+        made = [rng.integers(0, 50, size) for size in (0, 40, 7, 90)]
+        value, times = np.unique(np.concatenate(made), return_counts=True)
+        got = jaccard.often(list(made), least)
+        assert got[0].tolist() == value[times >= least].tolist() and got[1].tolist() == times[times >= least].tolist()
+    assert [len(x) for x in jaccard.often([], 3)] == [len(x) for x in jaccard.often([np.array([4, 4])], 3)] == [0, 0]
+
+
+def test_later_turns_write_few_files(spark, monkeypatch):
+    docs = spark.createDataFrame(list(enumerate(near_copies(200))), "doc_id bigint, text string")
+    written = []
+
+    def noted(df, name, plain=jaccard.staged):
+        out = plain(df, name)
+        written.append((name, len(out.inputFiles())))
+        return out
+
+    monkeypatch.setattr(jaccard, "staged", noted)
+    held = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name, None) for name in held}
+    for name, value in held.items():
+        spark.conf.set(name, value)
+    try:
+        jaccard.link_components(docs, pivot_rounds=2)
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    turns = [files for name, files in written if name == "open-columns"]
+    assert len(turns) > 1 and max(turns[1:]) <= 2 * spark.sparkContext.defaultParallelism < turns[0]
